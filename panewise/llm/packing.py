@@ -150,7 +150,7 @@ def pack(docs: DataFrame, shares: dict[str, float] | None = None, window: int =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, pid, came = wordbpe.encoder(path), TaskContext.get().partitionId(), {}
         for batch in batches:
-            for b in common.slices(batch):
+            for b in common.slices(batch, limit=16 << 20):
                 flat, off = wordbpe.append_end(*enc.encode(common.texts(b)), end_id)
                 size = np.diff(off)
                 before = np.empty(b.num_rows, np.int64)

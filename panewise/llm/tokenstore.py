@@ -170,7 +170,7 @@ def encoded(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = wordbpe.encoder(path)
         for batch in batches:
-            for b in common.slices(batch):
+            for b in common.slices(batch, limit=16 << 20):
                 flat, off = wordbpe.append_end(*enc.encode(common.texts(b)), end_id)
                 ids = b.column("doc_id").to_pandas().to_numpy(np.float64, na_value=-np.inf) if b.column("doc_id").null_count else b.column("doc_id").to_numpy()
                 part = np.searchsorted(cuts, ids, side="right").astype(np.int32)
