@@ -6,17 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_model, quality_rules, spm_spans, token_counts, tokenstore, toxicity
+from . import packing, quality_model, quality_rules, simhash, spm_spans, suffix_dedup, token_counts, tokenstore, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_components(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read_documents(tokenstore.write_shards(table(spark, sf_dir, "documents")))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_piece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm_spans.encode_decode(table(spark, sf_dir, "documents"))
 
@@ -37,9 +45,28 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+def op9_kd_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_store, op4_piece_spans, op5_token_counts, op6_mixture_packing, op7_quality_model, op8_quality_rules, op10_toxicity)}
-ORACLES: dict[str, str] = {}
+OPERATORS = (op1_simhash, op2_token_store, op3_suffix_dedup, op4_piece_spans, op5_token_counts, op6_mixture_packing, op7_quality_model, op8_quality_rules, op9_kd_top_k, op10_toxicity)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
+ORACLES: dict[str, str] = {
+    "op9_kd_top_k": """
+WITH v AS (
+  SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM p
+)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10
+""",
+}
