@@ -280,7 +280,7 @@ def near_components(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks:
     return table.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 7, blocks: int = 9, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 4, blocks: int = 6, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near copies; one document of each group stays, all columns as they came.
 
     Texts whose fingerprints link are compared by the Jaccard similarity of

@@ -46,7 +46,7 @@ PIECE = 1 << 20
 #: Bytes of text of which a task sends equal contexts once.
 CHUNK = 32 << 20
 #: Bytes of contexts in one index.
-BATCH = 1 << 20
+BATCH = 1 << 19
 #: Contexts of one anchor beyond which they are dealt over several indexes.
 HOT = 4096
 #: Most anchors with more contexts than that which are broadcast; beyond that they are joined.

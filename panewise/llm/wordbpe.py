@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words kept between batches; the cache starts anew beyond that (memory bound, never a limit on the input).
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 500_000
 #: Letters that are one pre-token in a row, stay what they are under NFC, and take no mark when lower-cased.
 _LETTERS = "a-zA-Zà-öø-ÿßÀ-ÖØ-Þ"
 _TAIL = f"([{_LETTERS}])([.,!?;:#$%&*|)]+)( |$)"  # such a run of signs before a space is one pre-token anyhow
