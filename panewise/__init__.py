@@ -1,0 +1 @@
+"""Keyed, time-windowed sets over event streams, on PySpark."""
