@@ -165,7 +165,7 @@ def pack(docs: DataFrame, shares: dict[str, float] | None = None, window: int =
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, pid, np.int32)), b.column("queue"), b.column("source"), pa.array(before), b.column("doc_id"), pa.array(size), data.cast(pa.binary())], ["pid", "queue", "source", "before", "doc_id", "n", "ids"])
 
     columns = docs.select(F.col(id_col).cast("long").alias("doc_id"), queue.alias("queue"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    table = common.Scratch(spark, "packing").save(columns.mapInArrow(encode, "pid int, queue string, source string, before long, doc_id long, n long, ids binary"))
+    table = common.Scratch(spark, "packing").save(columns.mapInArrow(common.tidy(encode), "pid int, queue string, source string, before long, doc_id long, n long, ids binary"))
     by_part = table.groupBy("pid", "queue").agg(F.sum("n").alias("part_n"))
     totals = {r["queue"]: r["n"] for r in by_part.groupBy("queue").agg(F.sum("part_n").alias("n")).collect()}  # MAX_QUEUES rows at most
     names = sorted(totals)
@@ -204,4 +204,4 @@ def pack(docs: DataFrame, shares: dict[str, float] | None = None, window: int =
                 yield pa.RecordBatch.from_arrays(arrays, fields)
 
     placed = table.join(offsets, ["pid", "queue"]).select("queue", "source", "doc_id", "n", "ids", (F.col("before") + F.col("ahead")).alias("at"))
-    return placed.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string" + ", ids array<long>" * with_ids)
+    return placed.mapInArrow(common.tidy(cut), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string" + ", ids array<long>" * with_ids)

@@ -98,7 +98,7 @@ def context_sums(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "sums"])
 
     schema = "block int, sums binary"
-    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(local, schema).repartition(min(BLOCKS, common.partitions(docs.sparkSession)), "block").mapInArrow(add, schema)
+    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(common.tidy(local), schema).repartition(min(BLOCKS, common.partitions(docs.sparkSession)), "block").mapInArrow(common.tidy(add), schema)
     out = np.zeros((BLOCKS, BUCKETS * DIM // BLOCKS), np.int64)
     for r in parts.collect():  # BUCKETS x DIM numbers in all
         out[r["block"]] = np.frombuffer(r["sums"], "<i8")
@@ -195,7 +195,7 @@ def pooled(docs: DataFrame, vectors, carry: list[str], finish=None) -> DataFrame
                 last = pa.array(list(x), pa.list_(pa.float64())) if finish is None else pa.array(finish(vectors.value[1], x))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), last], [*carry, "score"])
 
-    return docs.mapInArrow(run, docs.select(*carry).schema.add("score", ArrayType(DoubleType()) if finish is None else DoubleType()))
+    return docs.mapInArrow(common.tidy(run), docs.select(*carry).schema.add("score", ArrayType(DoubleType()) if finish is None else DoubleType()))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_SAMPLE, threshold: float = 0.3) -> DataFrame:

@@ -164,4 +164,4 @@ def quality_rules(docs: DataFrame, text_col: str = "text", carry: list[str] | No
     schema = data.select(*(f"`{f.name}`" for f in keep_fields)).schema
     for k in MEASURES:
         schema = schema.add(k, "long")
-    return data.mapInArrow(run, schema.add("base_failed", "boolean").add("kept", "boolean"))
+    return data.mapInArrow(common.tidy(run), schema.add("base_failed", "boolean").add("kept", "boolean"))

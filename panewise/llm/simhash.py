@@ -73,7 +73,7 @@ def fingerprints(data: DataFrame, size: int) -> DataFrame:
                 fp = [fingerprint(shingle_hashes(content[i:j], size)) for i, j in itertools.pairwise(off.tolist())]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), pa.array(np.array(fp, np.uint64).view(np.int64))], [*carry, "fp"])
 
-    return data.mapInArrow(run, data.drop("text").schema.add("fp", "long"))
+    return data.mapInArrow(common.tidy(run), data.drop("text").schema.add("fp", "long"))
 
 
 def planes_of(fp: np.ndarray) -> np.ndarray:
@@ -131,8 +131,9 @@ def within(planes: np.ndarray, rows: int, mask: np.ndarray, radius: int) -> np.n
 
 
 def forest(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (row, root) of the links between rows of one group; groups are runs."""
+    """A spanning forest of the links between rows of one group, as pairs of linked rows; groups are runs."""
     label = np.arange(len(fp))
+    tree: list[tuple[int, int]] = []
     index = np.arange(len(fp))
     lag = 1
     while True:
@@ -150,13 +151,14 @@ def forest(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray,
             a, b = label[index[rows]], label[index[rows + lag]]
             new = a != b
             if new.any():
-                for x, y in zip(a[new].tolist(), b[new].tolist(), strict=True):
+                for x, y, pair in zip(a[new].tolist(), b[new].tolist(), zip(index[rows[new]].tolist(), index[rows[new] + lag].tolist(), strict=True), strict=True):
                     while label[x] != x:
                         x = label[x]
                     while label[y] != y:
                         y = label[y]
                     if x != y:
                         label[max(x, y)] = min(x, y)
+                        tree.append(pair)
                 while True:
                     up = label[label]
                     if (up == label).all():
@@ -165,8 +167,8 @@ def forest(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray,
             lag += 1
         if not left:
             break
-    rows = np.flatnonzero(label != np.arange(len(label)))
-    return rows, label[rows]
+    pairs = np.array(tree, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
@@ -179,8 +181,8 @@ def compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
         group = np.cumsum(np.append(0, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])))
         several = np.bincount(group)[group] > 1
         fp, group = fp[several], group[several]
-        row, root = forest(fp.view(np.uint64), group, radius)
-        pairs = np.stack([fp[row], fp[root]], axis=1)
+        one, two = forest(fp.view(np.uint64), group, radius)
+        pairs = np.stack([fp[one], fp[two]], axis=1)
         pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
@@ -231,7 +233,7 @@ def links(distinct: DataFrame, radius: int, blocks: int, scratch: common.Scratch
     else:
         rows = rows.select("key", F.lit(0).cast("long").alias("cell"), "fp")
     n = common.partitions(spark)
-    found = rows.repartition(n, "key", "cell").sortWithinPartitions("key", "cell", "fp").mapInArrow(lambda it: compare(it, radius), "u long, v long")
+    found = rows.repartition(n, "key", "cell").sortWithinPartitions("key", "cell", "fp").mapInArrow(common.tidy(lambda it: compare(it, radius)), "u long, v long")
     return scratch.save(found.distinct())
 
 
@@ -283,10 +285,12 @@ def near_components(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks:
 def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 4, blocks: int = 6, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near copies; one document of each group stays, all columns as they came.
 
-    Texts whose fingerprints link are compared by the Jaccard similarity of
-    their shingles: in a component the least document (by id, then row) leads;
-    those at least ``similarity`` to it go; among the others the least leads
-    next, until none are left. Texts without words are one group.
+    Fingerprint links propose pairs of texts; a pair counts if the Jaccard
+    similarity of its shingle sets is at least ``similarity``. Groups are the
+    components of such pairs, and their least document (by id, then row) stays.
+    First each fingerprint is compared with its nearest smaller neighbour, then
+    all links that still lead between groups are compared. Texts without words
+    are one group.
     """
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "near")
@@ -294,10 +298,10 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 4, blocks:
     least = F.lit(-(1 << 63)).cast("long")
     data = numbered.select(F.col("__uid").alias("uid"), F.coalesce(F.col(f"`{id_col}`").cast("long"), least).alias("dk"), F.col(f"`{text_col}`").alias("text"))
     table = scratch.save(fingerprints(data, shingle))
-    roots = connect(table, radius, blocks, scratch)
-    rooted = table.join(roots, F.col("fp") == F.col("node"), "left").select("uid", "dk", F.coalesce("root", "fp").alias("root"))
-    several = rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
-    members = rooted.join(several, "root").select("uid", "dk", "root")
+    edges = links(scratch.save(table.select("fp").distinct()), radius, blocks, scratch)
+    common.release_shuffles(spark)
+    linked = edges.select(F.col("u").alias("fp")).union(edges.select(F.col("v").alias("fp"))).union(table.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")).distinct()
+    members = table.join(linked, "fp").select("uid", "dk", "fp")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,38 +309,47 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 4, blocks:
                 raw, off = common.byte_view(common.texts(b))
                 content = raw.tobytes()
                 sets = [np.unique(shingle_hashes(content[i:j], shingle)).astype("<u8").tobytes() for i, j in itertools.pairwise(off.tolist())]
-                yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("dk"), b.column("root"), pa.array(sets, pa.binary())], ["uid", "dk", "root", "set"])
+                yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("dk"), b.column("fp"), pa.array(sets, pa.binary())], ["uid", "dk", "fp", "set"])
 
-    # equal sets under one root are one; the first of them stands for all
-    sets = scratch.save(data.select("uid", "text").join(members, "uid").select("uid", "dk", "root", "text").mapInArrow(hashes, "uid long, dk long, root long, set binary"))
-    keyed = sets.select("uid", "dk", "root", F.sha2("set", 256).alias("key"))
-    first = scratch.save(keyed.groupBy("root", "key").agg(F.min(F.struct("dk", "uid")).alias("f")).select("root", F.col("f.uid").alias("uid"), F.col("f.dk").alias("dk")))
-    same = sets.select("uid").join(first.select("uid"), "uid", "left_anti")
-    left = first.join(sets.select("uid", "set"), "uid")
-    removed = [same]
+    sets = scratch.save(data.select("uid", "text").join(members, "uid").select("uid", "dk", "fp", "text").mapInArrow(common.tidy(hashes), "uid long, dk long, fp long, set binary"))
+    common.release_shuffles(spark)
+    # texts with equal sets are one node, which the first of them stands for
+    nodes = scratch.save(sets.groupBy("fp", F.sha2("set", 256).alias("key")).agg(F.min(F.struct("dk", "uid")).alias("f")).select("fp", F.col("f.dk").alias("dk"), F.col("f.uid").alias("uid")))
+    copies = sets.select("uid").join(nodes.select("uid"), "uid", "left_anti")
+    lead = nodes.groupBy("fp").agg(F.min(F.struct("dk", "uid")).alias("f")).select("fp", F.col("f.uid").alias("lead"))
+    same_fp = nodes.join(lead, "fp").where("uid != lead").select(F.col("uid").alias("u"), F.col("lead").alias("v"))
+    low, high = F.least("u", "v"), F.greatest("u", "v")
+    between = edges.select(high.alias("u"), low.alias("v"), F.bit_count(F.col("u").bitwiseXOR(F.col("v"))).alias("d"))
+    nearest = between.groupBy("u").agg(F.min(F.struct("d", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
+
+    def by_lead(pairs: DataFrame) -> DataFrame:
+        one, two = lead.select(F.col("fp").alias("u"), F.col("lead").alias("a")), lead.select(F.col("fp").alias("v"), F.col("lead").alias("b"))
+        return pairs.select("u", "v").join(one, "u").join(two, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             near = []
-            for x, y in zip(b.column("set"), b.column("lead"), strict=True):
+            for x, y in zip(b.column("x"), b.column("y"), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 both = len(np.intersect1d(p, q, assume_unique=True))
-                near.append(both >= similarity * max(1, len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("dk"), b.column("root"), b.column("set"), pa.array(near, pa.bool_())], ["uid", "dk", "root", "set", "near"])
-
-    left = scratch.save(left)
-    while True:
-        leads = left.groupBy("root").agg(F.min(F.struct("dk", "uid")).alias("f"), F.count("*").alias("n")).where("n > 1").select("root", F.col("f.uid").alias("lead_uid"))
-        lead_sets = leads.join(left.select(F.col("uid").alias("lead_uid"), F.col("set").alias("lead")), "lead_uid")
-        pairs = left.join(lead_sets, "root").where("uid != lead_uid").select("uid", "dk", "root", "set", "lead")
-        judged = scratch.save(pairs.mapInArrow(similar, "uid long, dk long, root long, set binary, near boolean"))
-        removed.append(judged.where("near").select("uid"))
-        left = judged.where("not near").drop("near")
-        if not left.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
-            break
-    gone = removed[0]
-    for r in removed[1:]:
-        gone = gone.union(r)
-    gone = scratch.save(gone.select(F.col("uid").alias("__uid")))
+                near.append(both >= similarity * (len(p) + len(q) - both))
+            keep = pa.array(near, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("u").filter(keep), b.column("v").filter(keep)], ["u", "v"])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        one, two = sets.select(F.col("uid").alias("u"), F.col("set").alias("x")), sets.select(F.col("uid").alias("v"), F.col("set").alias("y"))
+        out = scratch.save(pairs.join(one, "u").join(two, "v").select("u", "v", "x", "y").mapInArrow(common.tidy(similar), "u long, v long"))
+        common.release_shuffles(spark)
+        return out
+
+    first = verified(by_lead(nearest).union(same_fp))
+    group = scratch.save(components(first, scratch))
+    root = lambda c: group.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    rest = by_lead(between).join(root("u"), "u", "left").join(root("v"), "v", "left").where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
+    second = verified(rest.join(first, ["u", "v"], "left_anti"))
+    final = components(first.union(second), scratch)
+    grouped = nodes.join(final, F.col("uid") == F.col("node"), "left").select("uid", "dk", F.coalesce("root", "uid").alias("root"))
+    stays = grouped.groupBy("root").agg(F.min(F.struct("dk", "uid")).alias("f")).select(F.col("f.uid").alias("uid"))
+    gone = scratch.save(grouped.select("uid").join(stays, "uid", "left_anti").union(copies).select(F.col("uid").alias("__uid")))
     common.release_shuffles(spark)
     return numbered.join(gone, "__uid", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

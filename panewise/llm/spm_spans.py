@@ -228,4 +228,4 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_tile boolean, n_span_bytes long"
     schema += ", ids array<long>, begins array<long>, ends array<long>, decoded string" * with_spans
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(common.tidy(run), schema)

@@ -395,17 +395,17 @@ def find_repeats(base: DataFrame, scratch: common.Scratch) -> DataFrame:
     spark = base.sparkSession
     n = common.partitions(spark)
     sorted_by = ["h", "c", "dk", "uid", "lo"]
-    marks = scratch.save(base.mapInArrow(find_contexts, MARKS).repartition(n, "h").sortWithinPartitions(*sorted_by).mapInArrow(compare_contexts, MARKS))
+    marks = scratch.save(base.mapInArrow(common.tidy(find_contexts), MARKS).repartition(n, "h").sortWithinPartitions(*sorted_by).mapInArrow(common.tidy(compare_contexts), MARKS))
     common.release_shuffles(spark)
     opened = marks.where(F.col("kind") == OPEN)
     hot = scratch.save(opened.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT))
     by_doc = opened.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi", "h")).alias("open"))
-    contexts = base.join(by_doc, "uid").mapInArrow(cut_contexts, "h long, dk long, uid long, lo long, hi long, data binary")
+    contexts = base.join(by_doc, "uid").mapInArrow(common.tidy(cut_contexts), "h long, dk long, uid long, lo long, hi long, data binary")
     parts = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
     dealt = contexts.join(parts, "h", "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / HOT), F.lit(1)).cast("long")).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts"))).select("h", "part", "parts", "dk", "uid", "lo", "hi", "data")
-    judged = scratch.save(dealt.repartition(n, "h", "part").sortWithinPartitions("h", "part", "dk", "uid", "lo").mapInArrow(index_contexts, MARKS))
+    judged = scratch.save(dealt.repartition(n, "h", "part").sortWithinPartitions("h", "part", "dk", "uid", "lo").mapInArrow(common.tidy(index_contexts), MARKS))
     common.release_shuffles(spark)
-    met = judged.where(F.col("kind") == WINDOW).repartition(n, "h").sortWithinPartitions(*sorted_by).mapInArrow(lambda it: compare_contexts(it, single=True), MARKS)
+    met = judged.where(F.col("kind") == WINDOW).repartition(n, "h").sortWithinPartitions(*sorted_by).mapInArrow(common.tidy(lambda it: compare_contexts(it, single=True)), MARKS)
     found = marks.where(F.col("kind") == REPEAT).union(judged.where(F.col("kind") == REPEAT)).union(met)
     return found.select("uid", "lo", "hi")
 
@@ -473,4 +473,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for f in spark.createDataFrame([], text_schema).schema.fields:
             schema = schema.add(f)
     names = schema.names
-    return data.mapInArrow(cut, schema)
+    return data.mapInArrow(common.tidy(cut), schema)

@@ -101,4 +101,4 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
                 total = np.concatenate([[0], np.cumsum(terminal[coded.indices.to_numpy(zero_copy_only=False)])])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(first)), pa.array(total[first[1:]] - total[first[:-1]])], ["doc_id", "n_words", "n_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(common.tidy(run), "doc_id long, n_words long, n_tokens long")

@@ -177,7 +177,7 @@ def encoded(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str,
                 data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer((off * 4).astype(np.int64)), pa.py_buffer(flat.astype("<u4"))])
                 yield pa.RecordBatch.from_arrays([pa.array(part), b.column("doc_id"), data.cast(pa.binary())], ["part", "doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "part int, doc_id long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(common.tidy(run), "part int, doc_id long, ids binary")
 
 
 def write_shards(docs: DataFrame, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -227,7 +227,7 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = 2, id_c
             yield flush()
 
     ordered = encoded(docs, path, end_id, id_col, text_col, bounds).repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "ids")
-    table = ordered.mapInArrow(shards, "part int, shard int, before long, n_docs long, n_tokens long, payload binary")
+    table = ordered.mapInArrow(common.tidy(shards), "part int, shard int, before long, n_docs long, n_tokens long, payload binary")
     return common.Scratch(spark, "tokens").save(table)
 
 
@@ -255,7 +255,7 @@ def read_documents(shards: DataFrame, with_ids: bool = False) -> DataFrame:
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return shards.select("part", "before", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return shards.select("part", "before", "payload").mapInArrow(common.tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 def export_files(shards: DataFrame, folder: str) -> list[str]:

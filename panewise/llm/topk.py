@@ -151,7 +151,7 @@ def blocks(vectors: DataFrame, size: int, role: int, scale: int) -> DataFrame:
         if held:
             yield from made()
 
-    return vectors.mapInArrow(run, BLOCK)
+    return vectors.mapInArrow(common.tidy(run), BLOCK)
 
 
 def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -195,6 +195,6 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024,
         yield from done()
 
     cells = query_side.unionByName(point_side).repartition(min(max(common.partitions(spark), 1), groups * streams), "g", "s").sortWithinPartitions("g", "s", "role", "place")
-    found = cells.mapInArrow(run, "uid long, query_id long, vec_id long, score long, found_uid long")
+    found = cells.mapInArrow(common.tidy(run), "uid long, query_id long, vec_id long, score long, found_uid long")
     order = Window.partitionBy("uid").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "found_uid")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -173,7 +173,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([signature(w) for w in words], pa.int64()), pa.array(folded, pa.string())], ["label", "sign", "text"])
 
     tasks = max(32, common.partitions(spark))
-    sample = scratch.save(labelled(docs, labels, "toxic", limit, id_col, text_col).mapInArrow(prepare, "label int, sign long, text string").repartition(tasks, "sign"))
+    sample = scratch.save(labelled(docs, labels, "toxic", limit, id_col, text_col).mapInArrow(common.tidy(prepare), "label int, sign long, text string").repartition(tasks, "sign"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts and occurrences by entry and label; of texts with one signature and label only the first counts."""
@@ -196,7 +196,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         yield pa.RecordBatch.from_arrays([pa.array([k[1] for k in keys], pa.string()), pa.array([k[0] for k in keys], pa.int32()), pa.array([texts[k] for k in keys], pa.int64()), pa.array([times[k] for k in keys], pa.int64())], ["entry", "label", "texts", "times"])
 
     one = lambda c, label: F.sum(F.when(F.col("label") == label, F.col(c)).otherwise(0)).alias(f"{c}{label}")
-    sums = sample.repartition(tasks, "sign").mapInArrow(count, "entry string, label int, texts long, times long").groupBy("entry").agg(one("texts", 1), one("texts", 0), one("times", 1), one("times", 0))
+    sums = sample.repartition(tasks, "sign").mapInArrow(common.tidy(count), "entry string, label int, texts long, times long").groupBy("entry").agg(one("texts", 1), one("texts", 0), one("times", 1), one("times", 0))
     sums = scratch.save(sums.where("texts1 >= 3 or entry = ''"))
     all_ = sums.where("entry = ''").collect()
     bad, good = (all_[0]["texts1"], all_[0]["texts0"]) if all_ else (0, 0)
@@ -231,7 +231,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], ["entry", "label", "sign"])
 
     clean = F.count_distinct(F.when(F.col("label") == 0, F.col("sign")))
-    usual = sample.mapInArrow(phrases, "entry string, label int, sign long").groupBy("entry").agg(clean.alias("c0"), F.max("label").alias("worst"))
+    usual = sample.mapInArrow(common.tidy(phrases), "entry string, label int, sign long").groupBy("entry").agg(clean.alias("c0"), F.max("label").alias("worst"))
     lexicon.exceptions = [r["entry"] for r in usual.where("c0 >= 3 and worst = 0").orderBy(F.desc("c0"), "entry").limit(MAX_LEXICON).collect()] + [fold(p) for p in exceptions or []]
     rows = apply_lexicon(sample, lexicon, ["label"], folded=True).select("label", "strong_hits", "weak_hits", "n_words").toPandas()  # four numbers for each sampled row
     x = features(*(rows[c].to_numpy(float) for c in ("strong_hits", "weak_hits", "n_words")))
@@ -260,7 +260,7 @@ def apply_lexicon(docs: DataFrame, lexicon: Lexicon, carry: list[str], text_col:
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), pa.array(hits[0]), pa.array(hits[1]), pa.array(words), pa.array(model.value.score(hits[0], hits[1], words))], [*carry, *made])
 
     schema = data.drop("__text").schema
-    return data.mapInArrow(run, schema.add("strong_hits", "double").add("weak_hits", "double").add("n_words", "long").add("score", "double"))
+    return data.mapInArrow(common.tidy(run), schema.add("strong_hits", "double").add("weak_hits", "double").add("n_words", "long").add("score", "double"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
