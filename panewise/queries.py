@@ -279,7 +279,7 @@ g AS (SELECT q.event_id, any_value(q.ts) AS ts, any_value(q.inner_side) AS inner
 SELECT event_id, CAST(NOT inner_side AND n = 0 AS BIGINT) AS report, 129 AS port, ts & 281474976710655 AS stamp FROM g"""
 )
 def campus_prefix_firewall(spark, sf_dir):
-    p = Program(widths={"stamp": 48}).local("found", 1, 8)
+    p = Program(widths={"stamp": 48, "ts": 63}).local("found", 1, 8)
     p.exist("seen", ["inner", "outer"], CAMPUS)
     p.route("seen", ["src"], *(([Bits(b)], "add", {"inner": "src", "outer": "dst"}) for b in ("001*", "11**")), ([_], "query", {"inner": "dst", "outer": "src"}), into="found")
     p.match(["found"], ([Eq(0)], {"report": 1, "port": 0x81, "stamp": "ts"}), ([_], {"report": 0, "port": 0x81, "stamp": "ts"}))
