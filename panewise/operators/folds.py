@@ -122,7 +122,8 @@ def scan(df: DataFrame, keys: list[str], fold: Fold, window: w.Window, ts: str,
         state: tuple | None = None
         start = 0
         held: deque = deque()  # adds in the window, for a window that slides
-        for b in batches:
+        for batch in batches:
+            b = batch.rename_columns(kept)
             names = zip(*(b.column(c).to_pylist() for c in part_cols), strict=True)
             xs = list(zip(*(b.column(c).to_pylist() for c in in_names), strict=True)) if n_inputs else [()] * b.num_rows
             out = []
@@ -157,13 +158,14 @@ def scan(df: DataFrame, keys: list[str], fold: Fold, window: w.Window, ts: str,
                     for _, y in held:
                         live = begin(y) if live is None else step(y, live)
                     out.append(live[fold.index] if live is not None else 0)
-            arrays = [b.column(c) for c in kept]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(out, pa.int64())], [*kept, "__fold"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "__fold"])
 
-    ordered = rows.repartition(n, "__part").sortWithinPartitions("__part", *part_cols, ts, seq).select(*(F.col(f"`{c}`") for c in kept))
+    ordered = rows.repartition(n, "__part").sortWithinPartitions("__part", *part_cols, ts, seq).select(*(F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(kept)))
+    safe = {c: f"__c{i}" for i, c in enumerate(kept)}  # names without dots on the way through Arrow
     schema = StructType([*ordered.schema.fields, StructField("__fold", LongType())])
     folded = ordered.mapInArrow(run, schema)
-    return finish(folded, result, F.col("__fold"), old, columns)
+    named = folded.select(*(F.col(v).alias(c) for c, v in safe.items()), "__fold")
+    return finish(named, result, F.col("__fold"), old, columns)
 
 
 def fold(df: DataFrame, keys: list[str], spec: Fold, window: w.Window, ts: str, seq: str, result: str, old: Column, tick: int, column, widths) -> DataFrame:
