@@ -150,18 +150,18 @@ def quality_rules(docs: DataFrame, text_col: str = "text", carry: list[str] | No
     """
     made = [*MEASURES, "base_failed", "kept"]
     carried = [c for c in (carry if carry is not None else docs.columns) if c not in made]
-    data = docs.select(*(F.col(f"`{c}`") for c in carried), F.col(f"`{text_col}`").alias("__text"))
-    keep_fields = data.schema.fields[:-1]
+    kept_columns = [F.col(f"`{c}`") for c in carried]
+    data = docs.select(F.struct(*kept_columns).alias("carried"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in common.slices(batch, "__text", 2 << 20):
-                raw, off = common.byte_view(common.texts(b, "__text"))
+            for b in common.slices(batch, limit=2 << 20):
+                raw, off = common.byte_view(common.texts(b))
                 m = measure(raw, off)
                 failed, kept = judge(m)
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), *(pa.array(m[k].astype(np.int64)) for k in MEASURES), pa.array(failed), pa.array(kept)], [*carried, *made])
+                yield pa.RecordBatch.from_arrays([*(b.column("carried").field(k) for k in range(len(carried))), *(pa.array(m[k].astype(np.int64)) for k in MEASURES), pa.array(failed), pa.array(kept)], [*carried, *made])
 
-    schema = data.select(*(f"`{f.name}`" for f in keep_fields)).schema
+    schema = docs.select(*kept_columns).schema
     for k in MEASURES:
         schema = schema.add(k, "long")
     return data.mapInArrow(common.tidy(run), schema.add("base_failed", "boolean").add("kept", "boolean"))

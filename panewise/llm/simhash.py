@@ -294,9 +294,10 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 4, blocks:
     """
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "near")
-    numbered = docs.withColumn("__uid", F.monotonically_increasing_id())
+    mine = common.fresh(docs, "__uid")
+    numbered = docs.withColumn(mine, F.monotonically_increasing_id())
     least = F.lit(-(1 << 63)).cast("long")
-    data = numbered.select(F.col("__uid").alias("uid"), F.coalesce(F.col(f"`{id_col}`").cast("long"), least).alias("dk"), F.col(f"`{text_col}`").alias("text"))
+    data = numbered.select(F.col(mine).alias("uid"), F.coalesce(F.col(f"`{id_col}`").cast("long"), least).alias("dk"), F.col(f"`{text_col}`").alias("text"))
     table = scratch.save(fingerprints(data, shingle))
     edges = links(scratch.save(table.select("fp").distinct()), radius, blocks, scratch)
     common.release_shuffles(spark)
@@ -350,6 +351,6 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 4, blocks:
     final = components(first.union(second), scratch)
     grouped = nodes.join(final, F.col("uid") == F.col("node"), "left").select("uid", "dk", F.coalesce("root", "uid").alias("root"))
     stays = grouped.groupBy("root").agg(F.min(F.struct("dk", "uid")).alias("f")).select(F.col("f.uid").alias("uid"))
-    gone = scratch.save(grouped.select("uid").join(stays, "uid", "left_anti").union(copies).select(F.col("uid").alias("__uid")))
+    gone = scratch.save(grouped.select("uid").join(stays, "uid", "left_anti").union(copies).select(F.col("uid").alias(mine)))
     common.release_shuffles(spark)
-    return numbered.join(gone, "__uid", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return numbered.join(gone, mine, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

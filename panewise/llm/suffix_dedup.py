@@ -421,13 +421,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "suffix")
     least = F.lit(-(1 << 63)).cast("long")
-    numbered = docs.withColumn("__uid", F.monotonically_increasing_id())
+    mine = common.fresh(docs, "__uid")
+    numbered = docs.withColumn(mine, F.monotonically_increasing_id())
     text = F.col(f"`{text_col}`")
-    base = numbered.select(F.col("__uid").alias("uid"), F.coalesce(F.col(f"`{id_col}`").cast("long"), least).alias("dk"), text.alias("text"))
+    base = numbered.select(F.col(mine).alias("uid"), F.coalesce(F.col(f"`{id_col}`").cast("long"), least).alias("dk"), text.alias("text"))
     found = find_repeats(base, scratch)
     by_doc = found.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
     kept = [F.col(f"`{id_col}`").cast("long").alias("doc_id")] if carry is None else [F.col(f"`{c}`") for c in carry]
-    data = numbered.select(F.col("__uid").alias("uid"), F.struct(*kept).alias("carried"), text.alias("text")).join(by_doc, "uid", "left").select("carried", "text", "found")
+    data = numbered.select(F.col(mine).alias("uid"), F.struct(*kept).alias("carried"), text.alias("text")).join(by_doc, "uid", "left").select("carried", "text", "found")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

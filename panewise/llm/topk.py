@@ -175,7 +175,7 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024,
 
         def done() -> Iterator[pa.RecordBatch]:
             for _, uid, ids, best in held:
-                row, col = np.nonzero(best.uid >= 0)
+                row, col = np.nonzero(best.score > NO_SCORE)
                 found = best.id[row, col]
                 yield pa.RecordBatch.from_arrays([pa.array(uid[row]), pa.array(ids[row]), pa.array(found, mask=found == NO_ID), pa.array(best.score[row, col]), pa.array(best.uid[row, col])], ["uid", "query_id", "vec_id", "score", "found_uid"])
 

@@ -35,6 +35,7 @@ from . import common
 MAX_SAMPLE = 10_000
 MAX_LEXICON = 500
 MIN_SHARE = 0.02  # of the toxic texts that a lexicon entry must be in
+MIN_TEXTS = 5.0  # and at least so many
 MIN_PRECISION = 0.8  # from which on an entry is strong
 MIN_WEIGHT = 2.0  # log of how much oftener toxic texts have it
 #: Cyrillic and Greek letters that look like Latin ones (fixed values).
@@ -197,7 +198,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     one = lambda c, label: F.sum(F.when(F.col("label") == label, F.col(c)).otherwise(0)).alias(f"{c}{label}")
     sums = sample.repartition(tasks, "sign").mapInArrow(common.tidy(count), "entry string, label int, texts long, times long").groupBy("entry").agg(one("texts", 1), one("texts", 0), one("times", 1), one("times", 0))
-    sums = scratch.save(sums.where("texts1 >= 3 or entry = ''"))
+    sums = scratch.save(sums.where("texts1 >= 5 or entry = ''"))
     all_ = sums.where("entry = ''").collect()
     bad, good = (all_[0]["texts1"], all_[0]["texts0"]) if all_ else (0, 0)
     if not bad or not good:
@@ -207,7 +208,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rate1, rate0 = all_[0]["times1"], all_[0]["times0"]
     weight = F.log(((F.col("times1") + 0.5) / rate1) / ((F.col("times0") + 0.5) / rate0))
     strong = F.col("texts1") >= MIN_PRECISION * (F.col("texts1") + F.col("texts0"))
-    found = sums.where((F.col("entry") != "") & (F.col("texts1") >= max(3.0, MIN_SHARE * bad))).select("entry", weight.alias("weight"), strong.alias("strong"), "texts1").where(weight >= MIN_WEIGHT)
+    found = sums.where((F.col("entry") != "") & (F.col("texts1") >= max(MIN_TEXTS, MIN_SHARE * bad))).select("entry", weight.alias("weight"), strong.alias("strong"), "texts1").where(weight >= MIN_WEIGHT)
     best = found.orderBy(F.desc("strong"), F.desc(F.col("weight") * F.col("texts1")), F.length("entry"), "entry").limit(MAX_LEXICON).collect()
     entries: dict[str, Entry] = {}
     for r in sorted(best, key=lambda r: (len(r["entry"].rstrip("*")), r["entry"])):  # short stems first; what they cover about as well is left out
@@ -245,21 +246,22 @@ def apply_lexicon(docs: DataFrame, lexicon: Lexicon, carry: list[str], text_col:
     """The carried columns, with strong_hits and weak_hits (weighted), n_words and score, in one pass."""
     made = ["strong_hits", "weak_hits", "n_words", "score"]
     carry = [c for c in carry if c not in made]
-    data = docs.select(*(F.col(f"`{c}`") for c in carry), F.col(f"`{text_col}`").alias("__text"))
+    kept = [F.col(f"`{c}`") for c in carry]
+    data = docs.select(F.struct(*kept).alias("carried"), F.col(f"`{text_col}`").alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(lexicon)  # MAX_LEXICON entries at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = model.value.automaton()
         for batch in batches:
-            for b in common.slices(batch, "__text"):
+            for b in common.slices(batch):
                 hits, words = np.zeros((2, b.num_rows)), np.zeros(b.num_rows, np.int64)
-                for i, text in enumerate(common.texts(b, "__text").to_pylist()):
+                for i, text in enumerate(common.texts(b).to_pylist()):
                     for _, _, e in matches(machine, text if folded else fold(text)):
                         hits[int(not e.strong), i] += e.weight
                     words[i] = len(text.split())
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), pa.array(hits[0]), pa.array(hits[1]), pa.array(words), pa.array(model.value.score(hits[0], hits[1], words))], [*carry, *made])
+                yield pa.RecordBatch.from_arrays([*(b.column("carried").field(k) for k in range(len(carry))), pa.array(hits[0]), pa.array(hits[1]), pa.array(words), pa.array(model.value.score(hits[0], hits[1], words))], [*carry, *made])
 
-    schema = data.drop("__text").schema
+    schema = docs.select(*kept).schema
     return data.mapInArrow(common.tidy(run), schema.add("strong_hits", "double").add("weak_hits", "double").add("n_words", "long").add("score", "double"))
 
 
