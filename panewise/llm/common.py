@@ -98,6 +98,26 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Plan nodes that give each row the same place however often, and with whichever columns, they run.
+STEADY = {"Project", "Filter", "LogicalRelation", "DataSourceV2ScanRelation", "LocalRelation"}
+
+
+def numbered(df: DataFrame, name: str, scratch: Scratch) -> DataFrame:
+    """The table with a number for each row that stays the same in every later use.
+
+    Scans are numbered as they are read; any other plan (a round-robin deal,
+    say, which depends on the columns in use) is written first.
+    """
+
+    def steady(plan) -> bool:
+        children = plan.children()
+        return plan.getClass().getSimpleName() in STEADY and plan.deterministic() and all(steady(children.apply(i)) for i in range(children.size()))
+
+    if steady(df._jdf.queryExecution().optimizedPlan()):
+        return df.withColumn(name, F.monotonically_increasing_id())
+    return scratch.save(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

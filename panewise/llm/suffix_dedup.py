@@ -422,7 +422,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = common.Scratch(spark, "suffix")
     least = F.lit(-(1 << 63)).cast("long")
     mine = common.fresh(docs, "__uid")
-    numbered = docs.withColumn(mine, F.monotonically_increasing_id())
+    numbered = common.numbered(docs, mine, scratch)
     text = F.col(f"`{text_col}`")
     base = numbered.select(F.col(mine).alias("uid"), F.coalesce(F.col(f"`{id_col}`").cast("long"), least).alias("dk"), text.alias("text"))
     found = find_repeats(base, scratch)

@@ -158,7 +158,7 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024,
     """query_id, rank, vec_id, score: the k best rows for each row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     scratch = common.Scratch(spark, "topk")
-    data = vectors.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
+    data = common.numbered(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")), "uid", scratch).select("uid", "id", "vector")
     asked = blocks(data.where(F.col("id") % every == 0), QUERY_BLOCK, 0, scale)
     table = scratch.save(asked.union(blocks(data, SHARD, 1, scale)).withColumn("place", F.monotonically_increasing_id()))
     n = {r["role"]: r["n"] for r in table.groupBy("role").agg(F.count("*").alias("n")).collect()}
