@@ -37,6 +37,10 @@ BATCH = 1 << 17
 #: Most hot buckets that are broadcast; beyond that they are joined.
 BROADCAST_ROWS = 100_000
 SIMILARITY = 0.8
+#: Radius of the second comparison of near_dedup. Texts of similarity 0.8 differ in 10 to 12 bits (deviation 3).
+WIDE = 26
+#: Slots of the table that orders shingles by how common they are.
+SLOTS = 1 << 18
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -282,50 +286,169 @@ def near_components(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks:
     return table.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def near_pairs(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows of one group at distance ``radius`` or less; groups are runs."""
+    index, lag = np.arange(len(fp)), 1
+    one: list[np.ndarray] = [np.zeros(0, np.int64)]
+    two: list[np.ndarray] = [np.zeros(0, np.int64)]
+    while True:
+        size = np.bincount(np.cumsum(np.append(0, group[1:] != group[:-1]))) if len(group) else np.zeros(0, np.int64)
+        keep = np.repeat(size > lag, size)
+        fp, group, index, size = fp[keep], group[keep], index[keep], size[size > lag]
+        if not len(fp):
+            return np.concatenate(one), np.concatenate(two)
+        planes = planes_of(fp)
+        while 2 * int(size[size > lag].sum()) > len(fp):  # lay out anew when half of the rows are done
+            same = np.zeros(planes.shape[1] * 64, np.uint8)
+            same[: len(group) - lag] = group[lag:] == group[:-lag]
+            hit = within(planes, lag, np.packbits(same, bitorder="little").view("<u8"), radius)
+            rows = np.flatnonzero(np.unpackbits(hit.view(np.uint8), bitorder="little"))
+            one.append(index[rows])
+            two.append(index[rows + lag])
+            lag += 1
+
+
+def set_hashes(batch: pa.RecordBatch, size: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text of a batch."""
+    raw, off = common.byte_view(common.texts(batch))
+    content = raw.tobytes()
+    return [np.unique(shingle_hashes(content[i:j], size)) for i, j in itertools.pairwise(off.tolist())]
+
+
+def shingle_weights(data: DataFrame, size: int) -> np.ndarray:
+    """How common shingles are: the binary logarithm of the count in each of ``SLOTS`` hashed slots.
+
+    It only orders shingles, so that buckets of common ones are rare; every
+    order is right. Its size does not depend on the data.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for b in common.slices(batch):
+                for hashes in set_hashes(b, size):
+                    np.add.at(total, (hashes % np.uint64(SLOTS)).astype(np.int64), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["slot", "n"])
+
+    rows = data.select("text").mapInArrow(common.tidy(run), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(SLOTS, np.uint8)
+    out[rows["slot"].to_numpy()] = np.log2(rows["n"].to_numpy().astype(float)).astype(np.uint8)
+    return out
+
+
+def prefix_rows(data: DataFrame, weights: np.ndarray, size: int, similarity: float) -> DataFrame:
+    """h, uid, root, fp, n: the prefix of each text's shingles, the rarest first.
+
+    Two sets of similarity t share an element of their first n - ceil(t n) + 1
+    under any common order, so no similar pair lacks a common h.
+    """
+    held = data.sparkSession.sparkContext.broadcast(weights)
+    names = ["h", "uid", "root", "fp", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = held.value
+        for batch in batches:
+            for b in common.slices(batch):
+                uid, root, mark = (b.column(c).to_numpy() for c in ("uid", "root", "fp"))
+                heads, counts = [np.zeros(0, np.uint64)], []
+                for hashes in set_hashes(b, size):
+                    n = len(hashes)
+                    first = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+                    heads.append(hashes[np.argsort(order[(hashes % np.uint64(SLOTS)).astype(np.int64)], kind="stable")[:first]])
+                    counts.append((first, n))
+                first, n = np.array(counts, np.int64).reshape(-1, 2).T
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(heads).view(np.int64)), *(pa.array(np.repeat(x, first)) for x in (uid, root, mark)), pa.array(np.repeat(n, first).astype(np.int32))], names
+                )
+
+    return data.select("uid", "root", "fp", "text").mapInArrow(common.tidy(run), "h long, uid long, root long, fp long, n int")
+
+
+def candidates(batches: Iterator[pa.RecordBatch], radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (h, cell, uid, root, fp, n) come sorted; pairs of equal (h, cell), different root, near fp and like size."""
+    names = ("h", "cell", "uid", "root", "fp", "n")
+    held: list[tuple[np.ndarray, ...]] = []
+    count = 0
+
+    def judge(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        h, cell, uid, root, fp, n = rows
+        group = np.cumsum(np.append(0, (h[1:] != h[:-1]) | (cell[1:] != cell[:-1])))
+        one, two = near_pairs(fp.view(np.uint64), group, radius)
+        fit = (root[one] != root[two]) & (np.minimum(n[one], n[two]) >= similarity * np.maximum(n[one], n[two]) - 1e-9)
+        pairs = np.stack([uid[one[fit]], uid[two[fit]]], axis=1)
+        pairs = np.unique(np.stack([pairs.max(1), pairs.min(1)], axis=1), axis=0) if len(pairs) else pairs
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(tuple(b.column(k).to_numpy() for k in names))
+        count += b.num_rows
+        if count >= BATCH:
+            rows = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            edge = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
+            cut = int(edge[-1]) + 1 if len(edge) else 0  # the last bucket may go on
+            if cut:
+                yield judge(tuple(x[:cut] for x in rows))
+            held, count = [tuple(x[cut:] for x in rows)], len(rows[0]) - cut
+    if count:
+        yield judge(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def mixed_buckets(rows: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """The rows of buckets that hold more than one root, with the bucket's size ``total``."""
+    seen = rows.groupBy("h").agg(F.count("*").alias("total"), F.min("root").alias("a"), F.max("root").alias("b"))
+    keep = scratch.save(seen.where("a != b").select("h", "total"))
+    return rows.join(F.broadcast(keep) if keep.count() <= BROADCAST_ROWS else keep, "h")
+
+
 def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 4, blocks: int = 6, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near copies; one document of each group stays, all columns as they came.
 
-    Fingerprint links propose pairs of texts; a pair counts if the Jaccard
-    similarity of its shingle sets is at least ``similarity``. Groups are the
-    components of such pairs, and their least document (by id, then row) stays.
-    First each fingerprint is compared with its nearest smaller neighbour, then
-    all links that still lead between groups are compared. Texts without words
-    are one group.
+    Two texts are linked if the Jaccard similarity of their shingle sets is at
+    least ``similarity``. Groups are the components of links, and their least
+    document (by id, then row) stays. First texts with fingerprints within
+    ``radius`` bits are compared, each with its nearest smaller neighbour; this
+    joins nearly all copies. Then texts of different groups that share one of
+    their rarest shingles (as all linked ones do) have their fingerprints
+    compared bit-sliced at the radius ``WIDE``, and those within it are
+    compared as sets: first each with the least of its bucket, then all that
+    are still in different groups. Texts without words are one group.
     """
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "near")
     mine = common.fresh(docs, "__uid")
-    numbered = docs.withColumn(mine, F.monotonically_increasing_id())
+    numbered = common.numbered(docs, mine, scratch)
     least = F.lit(-(1 << 63)).cast("long")
     data = numbered.select(F.col(mine).alias("uid"), F.coalesce(F.col(f"`{id_col}`").cast("long"), least).alias("dk"), F.col(f"`{text_col}`").alias("text"))
     table = scratch.save(fingerprints(data, shingle))
     edges = links(scratch.save(table.select("fp").distinct()), radius, blocks, scratch)
     common.release_shuffles(spark)
-    linked = edges.select(F.col("u").alias("fp")).union(edges.select(F.col("v").alias("fp"))).union(table.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")).distinct()
-    members = table.join(linked, "fp").select("uid", "dk", "fp")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in common.slices(batch):
-                raw, off = common.byte_view(common.texts(b))
-                content = raw.tobytes()
-                sets = [np.unique(shingle_hashes(content[i:j], shingle)).astype("<u8").tobytes() for i, j in itertools.pairwise(off.tolist())]
+                sets = [x.astype("<u8").tobytes() for x in set_hashes(b, shingle)]
                 yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("dk"), b.column("fp"), pa.array(sets, pa.binary())], ["uid", "dk", "fp", "set"])
 
-    sets = scratch.save(data.select("uid", "text").join(members, "uid").select("uid", "dk", "fp", "text").mapInArrow(common.tidy(hashes), "uid long, dk long, fp long, set binary"))
+    def sets_of(members: DataFrame) -> DataFrame:
+        rows = data.select("uid", "text").join(members, "uid").select("uid", "dk", "fp", "text")
+        return scratch.save(rows.mapInArrow(common.tidy(hashes), "uid long, dk long, fp long, set binary"))
+
+    linked = edges.select(F.col("u").alias("fp")).union(edges.select(F.col("v").alias("fp"))).union(table.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")).distinct()
+    sets = sets_of(table.join(linked, "fp").select("uid", "dk", "fp"))
     common.release_shuffles(spark)
     # texts with equal sets are one node, which the first of them stands for
     nodes = scratch.save(sets.groupBy("fp", F.sha2("set", 256).alias("key")).agg(F.min(F.struct("dk", "uid")).alias("f")).select("fp", F.col("f.dk").alias("dk"), F.col("f.uid").alias("uid")))
-    copies = sets.select("uid").join(nodes.select("uid"), "uid", "left_anti")
+    copies = scratch.save(sets.select("uid").join(nodes.select("uid"), "uid", "left_anti"))
     lead = nodes.groupBy("fp").agg(F.min(F.struct("dk", "uid")).alias("f")).select("fp", F.col("f.uid").alias("lead"))
     same_fp = nodes.join(lead, "fp").where("uid != lead").select(F.col("uid").alias("u"), F.col("lead").alias("v"))
     low, high = F.least("u", "v"), F.greatest("u", "v")
     between = edges.select(high.alias("u"), low.alias("v"), F.bit_count(F.col("u").bitwiseXOR(F.col("v"))).alias("d"))
     nearest = between.groupBy("u").agg(F.min(F.struct("d", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
-
-    def by_lead(pairs: DataFrame) -> DataFrame:
-        one, two = lead.select(F.col("fp").alias("u"), F.col("lead").alias("a")), lead.select(F.col("fp").alias("v"), F.col("lead").alias("b"))
-        return pairs.select("u", "v").join(one, "u").join(two, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    one, two = lead.select(F.col("fp").alias("u"), F.col("lead").alias("a")), lead.select(F.col("fp").alias("v"), F.col("lead").alias("b"))
+    nearest = nearest.join(one, "u").join(two, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -333,23 +456,46 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 4, blocks:
             for x, y in zip(b.column("x"), b.column("y"), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 both = len(np.intersect1d(p, q, assume_unique=True))
-                near.append(both >= similarity * (len(p) + len(q) - both))
+                near.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
             keep = pa.array(near, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("u").filter(keep), b.column("v").filter(keep)], ["u", "v"])
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        one, two = sets.select(F.col("uid").alias("u"), F.col("set").alias("x")), sets.select(F.col("uid").alias("v"), F.col("set").alias("y"))
+    def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
+        one, two = known.select(F.col("uid").alias("u"), F.col("set").alias("x")), known.select(F.col("uid").alias("v"), F.col("set").alias("y"))
         out = scratch.save(pairs.join(one, "u").join(two, "v").select("u", "v", "x", "y").mapInArrow(common.tidy(similar), "u long, v long"))
         common.release_shuffles(spark)
         return out
 
-    first = verified(by_lead(nearest).union(same_fp))
-    group = scratch.save(components(first, scratch))
-    root = lambda c: group.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    rest = by_lead(between).join(root("u"), "u", "left").join(root("v"), "v", "left").where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
-    second = verified(rest.join(first, ["u", "v"], "left_anti"))
-    final = components(first.union(second), scratch)
-    grouped = nodes.join(final, F.col("uid") == F.col("node"), "left").select("uid", "dk", F.coalesce("root", "uid").alias("root"))
+    def compared(pairs: DataFrame) -> DataFrame:
+        pairs = scratch.save(pairs)
+        ends = pairs.select(F.col("u").alias("uid")).union(pairs.select(F.col("v").alias("uid"))).distinct()
+        return verified(pairs, sets_of(table.select("uid", "dk", "fp").join(ends, "uid")))
+
+    def rooted(rows: DataFrame, found: DataFrame) -> DataFrame:
+        tree = scratch.save(components(found, scratch))
+        return rows.join(tree, F.col("uid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "uid")).drop("node")
+
+    first = verified(nearest.union(same_fp), sets)
+    each = rooted(table.select("uid", "fp").join(copies, "uid", "left_anti"), first)
+    weights = shingle_weights(data, shingle)
+    rows = scratch.save(prefix_rows(data.select("uid", "text").join(each, "uid"), weights, shingle, similarity))
+    common.release_shuffles(spark)
+    mixed = scratch.save(mixed_buckets(rows, scratch).select("h", "uid", "fp", "n", "root"))
+    head = mixed.groupBy("h").agg(F.min(F.struct("n", "uid", "fp", "root")).alias("f"))
+    near_head = (F.col("root") != F.col("f.root")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("f.fp"))) <= WIDE) & (F.col("f.n") >= similarity * F.col("n") - 1e-9)
+    leads = mixed.join(head, "h").where(near_head).select(F.greatest("uid", "f.uid").alias("u"), F.least("uid", "f.uid").alias("v")).distinct()
+    second = compared(leads)
+    both = first.union(second)
+    left = scratch.save(mixed_buckets(scratch.save(rooted(mixed.drop("root"), both)), scratch))
+    chunks = F.ceil(F.col("total") / HOT).cast("long")
+    own = F.pmod(F.xxhash64("uid"), chunks)
+    pair = lambda other: F.least(own, other) * chunks + F.greatest(own, other)
+    cells = left.select("h", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), pair)).alias("cell"), "uid", "root", "fp", "n")
+    cells = cells.repartition(common.partitions(spark), "h", "cell").sortWithinPartitions("h", "cell", "uid")
+    rest = cells.mapInArrow(common.tidy(lambda it: candidates(it, WIDE, similarity)), "u long, v long").distinct().join(second, ["u", "v"], "left_anti")
+    final = components(both.union(compared(rest)), scratch)
+    ends = scratch.save(final.select(F.col("node").alias("uid"), "root").union(final.select(F.col("root").alias("uid"), "root").distinct()))
+    grouped = table.select("uid", "dk").join(ends, "uid")
     stays = grouped.groupBy("root").agg(F.min(F.struct("dk", "uid")).alias("f")).select(F.col("f.uid").alias("uid"))
     gone = scratch.save(grouped.select("uid").join(stays, "uid", "left_anti").union(copies).select(F.col("uid").alias(mine)))
     common.release_shuffles(spark)

@@ -130,6 +130,53 @@ def test_near_copies_go(docs):
     assert sum(len(t or "") > 20000 for t in texts) == 1
 
 
+def similar_groups(texts: list[str]) -> set[int]:
+    """Rows that stay: the first of each component of pairs of similarity 0.8 or more, by all pairs."""
+    sets = []
+    for t in texts:
+        words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        k = min(5, len(words))
+        sets.append(frozenset(" ".join(words[i : i + k]) for i in range(len(words) - k + 1)) if words else frozenset())
+    group = list(range(len(texts)))
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = top(i), top(j)
+                group[max(a, b)] = min(a, b)
+    return {i for i in range(len(texts)) if top(i) == i}
+
+
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_near_copies_of_any_similarity_go(spark, hot, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", hot)
+    r = random.Random(11)
+    vocab = ["".join(r.choice("abcdefghijklm") for _ in range(r.randint(2, 7))) for _ in range(500)]
+    draw = lambda n: [r.choice(vocab) for _ in range(n)]
+    common_part, texts = draw(40), []
+    for _ in range(40):
+        base = draw(r.randint(8, 300))
+        texts.append(base)
+        for share in (0.01, 0.03, 0.04, 0.05):
+            copy = list(base)
+            for at in r.sample(range(len(copy)), int(share * len(copy))):
+                copy[at] = r.choice(vocab)
+            texts.append(copy)
+    texts += [common_part + draw(r.randint(0, 20)) for _ in range(40)]
+    texts += [draw(r.randint(1, 7)) for _ in range(20)] + [[], []]
+    texts = [" ".join(t) for t in texts]
+    r.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = {x["doc_id"] for x in simhash.drop_near_copies(docs).collect()}
+    assert kept == similar_groups(texts)
+
+
 def test_token_store(docs, rows, tokenizer, tmp_path):
     table = tokenstore.write_shards(docs, shard_tokens=500)
     got = [tuple(r) for r in tokenstore.read_documents(table, with_ids=True).orderBy("start").collect()]
