@@ -37,8 +37,10 @@ BATCH = 1 << 17
 #: Most hot buckets that are broadcast; beyond that they are joined.
 BROADCAST_ROWS = 100_000
 SIMILARITY = 0.8
-#: Radius of the second comparison of near_dedup. Texts of similarity 0.8 differ in 10 to 12 bits (deviation 3).
+#: Radius within which near_dedup compares a text with the least of its bucket first. It decides no link: all pairs left are compared after that.
 WIDE = 26
+#: Words of 64 bits in the parity sketch of a shingle set.
+SKETCH = 8
 #: Slots of the table that orders shingles by how common they are.
 SLOTS = 1 << 18
 
@@ -65,8 +67,8 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0]) if len(hashes) else 0
 
 
-def fingerprints(data: DataFrame, size: int) -> DataFrame:
-    """All columns but ``text``, and fp (as a signed 64-bit integer)."""
+def fingerprints(data: DataFrame, size: int, once: bool = False) -> DataFrame:
+    """All columns but ``text``, and fp (as a signed 64-bit integer); ``once``: of the distinct shingles, so that equal sets have equal fp."""
     carry = [c for c in data.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +76,8 @@ def fingerprints(data: DataFrame, size: int) -> DataFrame:
             for b in common.slices(batch):
                 raw, off = common.byte_view(common.texts(b))
                 content = raw.tobytes()
-                fp = [fingerprint(shingle_hashes(content[i:j], size)) for i, j in itertools.pairwise(off.tolist())]
+                hashes = (shingle_hashes(content[i:j], size) for i, j in itertools.pairwise(off.tolist()))
+                fp = [fingerprint(np.unique(x) if once else x) for x in hashes]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), pa.array(np.array(fp, np.uint64).view(np.int64))], [*carry, "fp"])
 
     return data.mapInArrow(common.tidy(run), data.drop("text").schema.add("fp", "long"))
@@ -286,25 +289,39 @@ def near_components(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks:
     return table.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_pairs(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of rows of one group at distance ``radius`` or less; groups are runs."""
-    index, lag = np.arange(len(fp)), 1
-    one: list[np.ndarray] = [np.zeros(0, np.int64)]
-    two: list[np.ndarray] = [np.zeros(0, np.int64)]
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """A sketch of a set: bit i is the parity of the hashes that fall on i. Two sketches differ in no more bits than the sets in elements."""
+    bits = np.bincount((hashes >> np.uint64(32)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little")
+
+
+def possible_pairs(root: np.ndarray, n: np.ndarray, at: np.ndarray, sketch: np.ndarray, group: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one group (groups are runs), of different root, that may be similar: no similar pair is lost.
+
+    Sets of similarity t share at least t / (1 + t) of their summed sizes. At the
+    first shared shingle, only it and what follows it can be shared; and the
+    sketches tell apart at most the elements that are not shared.
+    """
+    index, lag = np.arange(len(n)), 1
+    out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     while True:
-        size = np.bincount(np.cumsum(np.append(0, group[1:] != group[:-1]))) if len(group) else np.zeros(0, np.int64)
-        keep = np.repeat(size > lag, size)
-        fp, group, index, size = fp[keep], group[keep], index[keep], size[size > lag]
-        if not len(fp):
-            return np.concatenate(one), np.concatenate(two)
-        planes = planes_of(fp)
-        while 2 * int(size[size > lag].sum()) > len(fp):  # lay out anew when half of the rows are done
-            same = np.zeros(planes.shape[1] * 64, np.uint8)
-            same[: len(group) - lag] = group[lag:] == group[:-lag]
-            hit = within(planes, lag, np.packbits(same, bitorder="little").view("<u8"), radius)
-            rows = np.flatnonzero(np.unpackbits(hit.view(np.uint8), bitorder="little"))
-            one.append(index[rows])
-            two.append(index[rows + lag])
+        size = np.bincount(np.cumsum(np.append(0, group[index[1:]] != group[index[:-1]]))) if len(index) else np.zeros(0, np.int64)
+        index = index[np.repeat(size > lag, size)]
+        if not len(index):
+            return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        sizes = size[size > lag]
+        held = [x[index] for x in (group, root, n, n - at)]
+        while 2 * int(sizes[sizes > lag].sum()) > len(index):  # lay out anew when half of the rows are done
+            (g, r, m, rest), (g2, r2, m2, rest2) = ([x[:-lag] for x in held], [x[lag:] for x in held])
+            total = m + m2
+            need = similarity / (1 + similarity) * total - 1e-6
+            fit = np.flatnonzero((g == g2) & (r != r2) & (np.minimum(m, m2) >= similarity * np.maximum(m, m2) - 1e-9) & (np.minimum(rest, rest2) >= need))
+            for first in range(0, len(fit), BATCH):
+                rows = fit[first : first + BATCH]
+                one, two = index[rows], index[rows + lag]
+                apart = np.bitwise_count(sketch[one] ^ sketch[two]).sum(1, dtype=np.int64)
+                close = apart <= total[rows] - 2 * need[rows]
+                out.append((one[close], two[close]))
             lag += 1
 
 
@@ -338,13 +355,13 @@ def shingle_weights(data: DataFrame, size: int) -> np.ndarray:
 
 
 def prefix_rows(data: DataFrame, weights: np.ndarray, size: int, similarity: float) -> DataFrame:
-    """h, uid, root, fp, n: the prefix of each text's shingles, the rarest first.
+    """h, uid, root, fp, n, at: the prefix of each text's shingles, the rarest first, and the place ``at`` of each.
 
     Two sets of similarity t share an element of their first n - ceil(t n) + 1
     under any common order, so no similar pair lacks a common h.
     """
     held = data.sparkSession.sparkContext.broadcast(weights)
-    names = ["h", "uid", "root", "fp", "n"]
+    names = ["h", "uid", "root", "fp", "n", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = held.value
@@ -359,31 +376,31 @@ def prefix_rows(data: DataFrame, weights: np.ndarray, size: int, similarity: flo
                     counts.append((first, n))
                 first, n = np.array(counts, np.int64).reshape(-1, 2).T
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(heads).view(np.int64)), *(pa.array(np.repeat(x, first)) for x in (uid, root, mark)), pa.array(np.repeat(n, first).astype(np.int32))], names
+                    [pa.array(np.concatenate(heads).view(np.int64)), *(pa.array(np.repeat(x, first)) for x in (uid, root, mark)), pa.array(np.repeat(n, first).astype(np.int32)), pa.array((np.arange(first.sum()) - np.repeat(np.cumsum(first) - first, first)).astype(np.int32))], names
                 )
 
-    return data.select("uid", "root", "fp", "text").mapInArrow(common.tidy(run), "h long, uid long, root long, fp long, n int")
+    return data.select("uid", "root", "fp", "text").mapInArrow(common.tidy(run), "h long, uid long, root long, fp long, n int, at int")
 
 
-def candidates(batches: Iterator[pa.RecordBatch], radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows (h, cell, uid, root, fp, n) come sorted; pairs of equal (h, cell), different root, near fp and like size."""
-    names = ("h", "cell", "uid", "root", "fp", "n")
+def candidates(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (h, cell, uid, root, n, at, sketch) come sorted; pairs of equal (h, cell) and different root that may be similar."""
+    names = ("h", "cell", "uid", "root", "n", "at")
     held: list[tuple[np.ndarray, ...]] = []
     count = 0
 
     def judge(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        h, cell, uid, root, fp, n = rows
+        h, cell, uid, root, n, at, sketch = rows
         group = np.cumsum(np.append(0, (h[1:] != h[:-1]) | (cell[1:] != cell[:-1])))
-        one, two = near_pairs(fp.view(np.uint64), group, radius)
-        fit = (root[one] != root[two]) & (np.minimum(n[one], n[two]) >= similarity * np.maximum(n[one], n[two]) - 1e-9)
-        pairs = np.stack([uid[one[fit]], uid[two[fit]]], axis=1)
+        one, two = possible_pairs(root, n.astype(np.int64), at.astype(np.int64), sketch, group, similarity)
+        pairs = np.stack([uid[one], uid[two]], axis=1)
         pairs = np.unique(np.stack([pairs.max(1), pairs.min(1)], axis=1), axis=0) if len(pairs) else pairs
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
     for b in batches:
         if not b.num_rows:
             continue
-        held.append(tuple(b.column(k).to_numpy() for k in names))
+        sketch = common.byte_view(b.column("sketch"))[0].reshape(b.num_rows, 8 * SKETCH).view("<u8")
+        held.append((*(b.column(k).to_numpy() for k in names), sketch))
         count += b.num_rows
         if count >= BATCH:
             rows = tuple(np.concatenate(x) for x in zip(*held, strict=True))
@@ -411,10 +428,12 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 4, blocks:
     document (by id, then row) stays. First texts with fingerprints within
     ``radius`` bits are compared, each with its nearest smaller neighbour; this
     joins nearly all copies. Then texts of different groups that share one of
-    their rarest shingles (as all linked ones do) have their fingerprints
-    compared bit-sliced at the radius ``WIDE``, and those within it are
-    compared as sets: first each with the least of its bucket, then all that
-    are still in different groups. Texts without words are one group.
+    their rarest shingles (as all linked ones do) are compared as sets: first
+    each with the least of its bucket, if their fingerprints are within
+    ``WIDE`` bits; then all pairs still in different groups, but those whose
+    sizes, places or parity sketches prove that they are not similar. The
+    fingerprints are of the distinct shingles. Texts without words are one
+    group.
     """
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "near")
@@ -422,7 +441,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 4, blocks:
     numbered = common.numbered(docs, mine, scratch)
     least = F.lit(-(1 << 63)).cast("long")
     data = numbered.select(F.col(mine).alias("uid"), F.coalesce(F.col(f"`{id_col}`").cast("long"), least).alias("dk"), F.col(f"`{text_col}`").alias("text"))
-    table = scratch.save(fingerprints(data, shingle))
+    table = scratch.save(fingerprints(data, shingle, once=True))
     edges = links(scratch.save(table.select("fp").distinct()), radius, blocks, scratch)
     common.release_shuffles(spark)
 
@@ -480,19 +499,28 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 4, blocks:
     weights = shingle_weights(data, shingle)
     rows = scratch.save(prefix_rows(data.select("uid", "text").join(each, "uid"), weights, shingle, similarity))
     common.release_shuffles(spark)
-    mixed = scratch.save(mixed_buckets(rows, scratch).select("h", "uid", "fp", "n", "root"))
+    mixed = scratch.save(mixed_buckets(rows, scratch).select("h", "uid", "fp", "n", "at", "root"))
     head = mixed.groupBy("h").agg(F.min(F.struct("n", "uid", "fp", "root")).alias("f"))
     near_head = (F.col("root") != F.col("f.root")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("f.fp"))) <= WIDE) & (F.col("f.n") >= similarity * F.col("n") - 1e-9)
     leads = mixed.join(head, "h").where(near_head).select(F.greatest("uid", "f.uid").alias("u"), F.least("uid", "f.uid").alias("v")).distinct()
     second = compared(leads)
     both = first.union(second)
-    left = scratch.save(mixed_buckets(scratch.save(rooted(mixed.drop("root"), both)), scratch))
+    left = scratch.save(mixed_buckets(scratch.save(rooted(mixed.drop("root", "fp"), both)), scratch))
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in common.slices(batch):
+                bits = [parity(x).tobytes() for x in set_hashes(b, shingle)]
+                yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array(bits, pa.binary())], ["uid", "sketch"])
+
+    asked = data.select("uid", "text").join(left.select("uid").distinct(), "uid").mapInArrow(common.tidy(sketches), "uid long, sketch binary")
+    left = left.join(scratch.save(asked), "uid")
     chunks = F.ceil(F.col("total") / HOT).cast("long")
     own = F.pmod(F.xxhash64("uid"), chunks)
     pair = lambda other: F.least(own, other) * chunks + F.greatest(own, other)
-    cells = left.select("h", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), pair)).alias("cell"), "uid", "root", "fp", "n")
+    cells = left.select("h", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), pair)).alias("cell"), "uid", "root", "n", "at", "sketch")
     cells = cells.repartition(common.partitions(spark), "h", "cell").sortWithinPartitions("h", "cell", "uid")
-    rest = cells.mapInArrow(common.tidy(lambda it: candidates(it, WIDE, similarity)), "u long, v long").distinct().join(second, ["u", "v"], "left_anti")
+    rest = cells.mapInArrow(common.tidy(lambda it: candidates(it, similarity)), "u long, v long").distinct().join(second, ["u", "v"], "left_anti")
     final = components(both.union(compared(rest)), scratch)
     ends = scratch.save(final.select(F.col("node").alias("uid"), "root").union(final.select(F.col("root").alias("uid"), "root").distinct()))
     grouped = table.select("uid", "dk").join(ends, "uid")

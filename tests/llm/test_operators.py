@@ -177,6 +177,43 @@ def test_near_copies_of_any_similarity_go(spark, hot, monkeypatch):
     assert kept == similar_groups(texts)
 
 
+@pytest.mark.parametrize("wide", [26, 0])
+def test_near_copies_with_repeated_runs_go(spark, wide, monkeypatch):
+    """Links are between sets: neither how often a shingle repeats nor the fingerprints' distance may lose one."""
+    monkeypatch.setattr(simhash, "WIDE", wide)
+    r = random.Random(5)
+    vocab = ["".join(r.choice("abcdefghijklm") for _ in range(r.randint(2, 7))) for _ in range(500)]
+    draw = lambda n: [r.choice(vocab) for _ in range(n)]
+    texts = []
+    for n in (30, 300, 300, 900):
+        base = draw(n)
+        texts += [base + ["."] * 104, base + ["."] * 5, base + ["-"] * 7, ["ab", "cd"] * 200 + base, ["ab", "cd"] * 4 + base]
+        for share in (0.02, 0.03, 0.04):
+            copy = list(base)
+            for at in r.sample(range(n), int(share * n)):
+                copy[at] = r.choice(vocab)
+            texts += [copy, copy + ["."] * 300]
+    texts = [" ".join(t) for t in texts + [draw(r.randint(5, 400)) for _ in range(30)]]
+    r.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {x["doc_id"] for x in simhash.drop_near_copies(docs).collect()} == similar_groups(texts)
+
+
+def test_possible_pairs_lose_no_similar_pair():
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(25):
+        base = rng.integers(0, 1 << 63, rng.integers(1, 1200), dtype=np.uint64)
+        for part in (1.0, 0.95, 0.9, 0.8, 0.5):
+            sets.append(np.unique(np.concatenate([base[: int(len(base) * part) + 1], base[:3]])))
+    n, sketch = np.array([len(x) for x in sets]), np.stack([simhash.parity(x).view("<u8") for x in sets])
+    row = np.arange(len(sets))
+    one, two = simhash.possible_pairs(row, n, np.zeros(len(n), np.int64), sketch, np.zeros(len(n), np.int64), 0.8)
+    similar = {(i, j) for j in row for i in range(j) if (both := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (n[i] + n[j] - both)}
+    found = set(zip(one.tolist(), two.tolist(), strict=True))
+    assert similar <= found and len(found) < 3 * len(similar)
+
+
 def test_token_store(docs, rows, tokenizer, tmp_path):
     table = tokenstore.write_shards(docs, shard_tokens=500)
     got = [tuple(r) for r in tokenstore.read_documents(table, with_ids=True).orderBy("start").collect()]
