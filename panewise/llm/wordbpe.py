@@ -3,8 +3,10 @@
 The tokenizer drops white space and never merges across it, so a text's ids
 are the ids of its words in order. Each batch is split and dictionary-encoded
 in Arrow and only distinct words that the worker has not seen reach the
-tokenizers library. Ids are exactly those of ``Tokenizer.encode`` on the whole
-text.
+tokenizers library. Only words that case cannot change are looked up in lower
+case: special tokens are matched before normalisation, and letters may compose
+with marks before they are lower-cased. Ids are exactly those of
+``Tokenizer.encode`` on the whole text.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ CACHE_WORDS = 500_000
 _LETTERS = "a-zA-Zà-öø-ÿßÀ-ÖØ-Þ"
 _TAIL = f"([{_LETTERS}])([.,!?;:#$%&*|)]+)( |$)"  # such a run of signs before a space is one pre-token anyhow
 _PLAIN = "^[a-zà-öø-ÿß]+$"
+#: Words that hold a mark, a letter beyond Latin-1, or what may begin a special token keep their case.
+_CASED = r"<\||[^\x00-\x{ff}]"
 
 
 def default_path() -> str:
@@ -81,13 +85,15 @@ class WordEncoder:
         column = pc.fill_null(column, "")
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
-        text = pc.ascii_lower(column)
+        text = column
         for space in ("\n", "\t", "\r"):
             text = pc.replace_substring(text, space, " ")
         text = pc.replace_substring_regex(text, _TAIL, r"\1 \2\3")
         parts = pc.split_pattern(text, " ")
         coded = parts.flatten().dictionary_encode()
-        words, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        raw = coded.dictionary
+        coded_words = pc.if_else(pc.match_substring_regex(raw, _CASED), raw, pc.ascii_lower(raw)).dictionary_encode()
+        words, codes = coded_words.dictionary, coded_words.indices.to_numpy(zero_copy_only=False)[coded.indices.to_numpy(zero_copy_only=False)]
         if len(self.words) > CACHE_WORDS:
             self.reset()
         known = pc.index_in(words, value_set=self.words)

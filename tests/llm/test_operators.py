@@ -227,6 +227,17 @@ def test_token_store(docs, rows, tokenizer, tmp_path):
     assert len(files) > 3 and tokenstore.load_shard(open(files[0], "rb").read())[3].n > 0
 
 
+@pytest.mark.parametrize("text", ["<|EndOfText|> x", "a <|endoftext|>B <|StartOfText|>", "T\u0308 J\u030c H\u0331 Y\u030a", "t\u0308 T\u0308s, É É E\u0301. Ǆ İ K", "The the THE The's CAN'T CAN\u2019T Über ÜBER", "", "A\u00a0B A\u0308B\nÀ\u0301 X=\u0338 Q. \u0308"])
+def test_ids_are_those_of_the_library(text, tokenizer):
+    import pyarrow as pa
+
+    enc = wordbpe.WordEncoder(wordbpe.default_path())
+    texts = [text, text.lower(), text.upper(), text]
+    flat, off = enc.encode(pa.array(texts))
+    for t, i, j in zip(texts, off[:-1], off[1:], strict=True):
+        assert flat[i:j].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(3)
     for n, top in ((0, 1), (1, 1), (1500, 49408), (700, 3)):
