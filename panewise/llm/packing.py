@@ -10,7 +10,9 @@ How far a queue has come after k rounds is floor(k * share / grain) * grain,
 so a document finds its windows from its place in its queue alone: partitions
 carry deficits across without waiting for each other. When a queue ends, its
 rest is sent and the shares of the others grow (at most one such phase for
-each source).
+each source). Beyond ``MAX_QUEUES`` sources the same schedule is followed by a
+running sum over all pieces in sending order instead of a sum over all queues
+for each piece; the ids are shuffled then.
 
 Cases: null text is an empty text (only the end id); null and empty sources
 share a queue; repeated ids and rows are packed as they come; an empty table
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import common, wordbpe
 
-#: Most queues that the driver plans for; more sources than that share queues by hash.
+#: Most queues whose places are summed up for each piece; beyond that pieces are sorted in sending order.
 MAX_QUEUES = 1024
 #: Most rows of the (partition, queue) offsets that are broadcast; beyond that they are joined.
 BROADCAST_ROWS = 200_000
@@ -85,6 +87,70 @@ def plan(totals: list[int], shares: list[float], window: int, grain: int) -> lis
     return phases
 
 
+def rounds_of(own: np.ndarray, first: np.ndarray, n: np.ndarray, total: int, per: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Document and round of each piece: documents ``own`` have ``n`` grains from ``first`` on."""
+    block = wordbpe.gather(np.arange(int((first + n).max()) - int(first.min())), first - first.min(), n) + first.min()
+    doc = np.repeat(own, n)
+    rnd = -(-((block + 1) * total) // (per * w)) - 1
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (rnd[1:] != rnd[:-1])
+    return doc[new], rnd[new]
+
+
+def weights(share: np.ndarray | float, total: np.ndarray | float, active: np.ndarray | int) -> np.ndarray:
+    """Integer weights of shares that sum up to ``total`` over so many active queues."""
+    part = np.where(np.asarray(total) > 0, share / np.where(np.asarray(total) > 0, total, 1.0), 1 / np.asarray(active))
+    return np.maximum(1, np.round(part * SCALE)).astype(np.int64)
+
+
+def course(totals: list[int], shares: list[float], window: int, grain: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The schedule of ``plan`` for many queues: sum of shares (a row for each phase); active queues, weight and rounds; last phase of each queue."""
+    if window % grain:
+        raise ValueError("grain must divide window")
+    per = window // grain
+    left, want = np.array(totals, np.int64), np.maximum(np.array(shares, float), 0.0)
+    last = np.zeros(len(left), np.int64)
+    active = np.flatnonzero(left)
+    sums, steps = [], []
+    while len(active):
+        share = want[active]
+        weight = weights(share, share.sum(), len(active))
+        total = int(weight.sum())
+        ends = -(-((left[active] // grain + 1) * total) // (per * weight)) - 1
+        rounds = int(ends.min())
+        left[active] -= grain * ((rounds * per * weight) // total)
+        over = (ends == rounds) | (left[active] == 0)
+        last[active[over]] = len(steps)
+        sums.append(float(share.sum()))
+        steps.append((len(active), total, rounds))
+        active = active[~over]
+    return np.array(sums), np.array(steps, np.int64).reshape(-1, 3), last
+
+
+def walk(sums: np.ndarray, steps: np.ndarray, last: int, share: float, starts: np.ndarray, lengths: np.ndarray, window: int, grain: int) -> tuple[np.ndarray, ...]:
+    """Pieces of documents of one queue: document index, queue position, length, phase, round (the rest of a queue: after its rounds)."""
+    per = window // grain
+    active, total, rounds = steps[: last + 1].T
+    weight = weights(max(share, 0.0), sums[: last + 1], active)
+    stop = np.cumsum(grain * ((rounds * per * weight) // total))
+    base = np.append(0, stop[:-1])
+    ends = starts + lengths
+    out: list[tuple[np.ndarray, ...]] = []
+    for p in range(int(np.searchsorted(stop, starts.min(), "right")), int(np.searchsorted(base, ends.max(), "left"))):
+        lo, hi = np.maximum(starts - base[p], 0), np.minimum(ends, stop[p]) - base[p]
+        own = np.flatnonzero(hi > lo)
+        if len(own):
+            first = lo[own] // grain
+            doc, rnd = rounds_of(own, first, (hi[own] - 1) // grain - first + 1, int(total[p]), per, int(weight[p]))
+            a = np.maximum(lo[doc], grain * ((rnd * per * weight[p]) // total[p]))
+            b = np.minimum(hi[doc], grain * (((rnd + 1) * per * weight[p]) // total[p]))
+            out.append((doc, a + base[p], b - a, np.full(len(doc), p), rnd))
+    a = np.maximum(starts, stop[-1])
+    own = np.flatnonzero(ends > a)
+    out.append((own, a[own], (ends - a)[own], np.full(len(own), last), np.full(len(own), rounds[-1])))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def place(phases: list[Phase], totals: list[int], queue: int, starts: np.ndarray, lengths: np.ndarray, window: int, grain: int) -> tuple[np.ndarray, ...]:
     """Pieces of documents of one queue: document index, queue position, length, place in the sent order."""
     per = window // grain
@@ -101,12 +167,7 @@ def place(phases: list[Phase], totals: list[int], queue: int, starts: np.ndarray
         if len(own):
             first, last = lo[own] // grain, (hi[own] - 1) // grain
             n = last - first + 1
-            block = wordbpe.gather(np.arange(int(last.max()) - int(first.min()) + 1), first - first.min(), n) + first.min()
-            doc = np.repeat(own, n)
-            rnd = -(-((block + 1) * total) // (per * w)) - 1
-            new = np.ones(len(doc), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (rnd[1:] != rnd[:-1])
-            doc, rnd = doc[new], rnd[new]
+            doc, rnd = rounds_of(own, first, n, total, per, w)
             at_round = lambda r, x: grain * ((r * per * x) // total)
             mine, after = at_round(rnd, w), at_round(rnd + 1, w)
             a, b = np.maximum(lo[doc], mine), np.minimum(hi[doc], after)
@@ -137,15 +198,13 @@ def pack(docs: DataFrame, shares: dict[str, float] | None = None, window: int =
     shares: target share of tokens for each source (absent: 0, sent when the
     others have ended); None: each source's share of all tokens. Returns
     doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source
-    (and ids). The text is read once and never shuffled.
+    (and ids). Each source has a queue of its own, at any count; the driver
+    plans with one row for each. The text is read once and never shuffled (the
+    ids are, beyond ``MAX_QUEUES`` sources).
     """
     spark = docs.sparkSession
     path = path or wordbpe.default_path()
-    sources = docs.select(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("queue"))
-    named = [r["queue"] for r in sources.distinct().limit(MAX_QUEUES + 1).collect()]
     queue = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    if len(named) > MAX_QUEUES:
-        queue = F.concat(F.lit("#"), F.pmod(F.xxhash64(queue), F.lit(MAX_QUEUES)).cast("string"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, pid, came = wordbpe.encoder(path), TaskContext.get().partitionId(), {}
@@ -167,15 +226,16 @@ def pack(docs: DataFrame, shares: dict[str, float] | None = None, window: int =
     columns = docs.select(F.col(id_col).cast("long").alias("doc_id"), queue.alias("queue"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
     table = common.Scratch(spark, "packing").save(columns.mapInArrow(common.tidy(encode), "pid int, queue string, source string, before long, doc_id long, n long, ids binary"))
     by_part = table.groupBy("pid", "queue").agg(F.sum("n").alias("part_n"))
-    totals = {r["queue"]: r["n"] for r in by_part.groupBy("queue").agg(F.sum("part_n").alias("n")).collect()}  # MAX_QUEUES rows at most
+    totals = {r["queue"]: r["n"] for r in by_part.groupBy("queue").agg(F.sum("part_n").alias("n")).collect()}  # one row for each source
     names = sorted(totals)
     lengths = [totals[x] for x in names]
     target = [float(x) for x in lengths] if shares is None else [float(shares.get(x, 0.0)) for x in names]
-    phases = plan(lengths, target, window, grain)
-    number = {x: i for i, x in enumerate(names)}
     ahead = Window.partitionBy("queue").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = common.Scratch(spark, "packing-offsets").save(by_part.select("pid", "queue", F.coalesce(F.sum("part_n").over(ahead), F.lit(0)).alias("ahead")))
-    offsets = F.broadcast(offsets) if offsets.count() <= BROADCAST_ROWS else offsets
+    if len(names) > MAX_QUEUES:
+        return pack_many(table, offsets, names, lengths, target, window, grain, with_ids)
+    phases = plan(lengths, target, window, grain)
+    number = {x: i for i, x in enumerate(names)}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,5 +263,72 @@ def pack(docs: DataFrame, shares: dict[str, float] | None = None, window: int =
                     fields.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, fields)
 
+    offsets = F.broadcast(offsets) if offsets.count() <= BROADCAST_ROWS else offsets
     placed = table.join(offsets, ["pid", "queue"]).select("queue", "source", "doc_id", "n", "ids", (F.col("before") + F.col("ahead")).alias("at"))
     return placed.mapInArrow(common.tidy(cut), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string" + ", ids array<long>" * with_ids)
+
+
+def pack_many(table: DataFrame, offsets: DataFrame, names: list[str], lengths: list[int], target: list[float], window: int, grain: int, with_ids: bool) -> DataFrame:
+    """The same pieces for any number of queues: pieces in sending order, placed by a running sum of their lengths."""
+    spark = table.sparkSession
+    scratch = common.Scratch(spark, "packing-many")
+    sums, steps, last = course(lengths, target, window, grain)
+    courses = scratch.save(spark.createDataFrame(list(zip(names, range(len(names)), target, last.tolist(), strict=True)), "queue string, number long, share double, last long"))
+    offsets = scratch.save(offsets.join(courses, "queue"))
+    offsets = F.broadcast(offsets) if offsets.count() <= BROADCAST_ROWS else offsets
+    fields = ["doc_id", "start", "length", "doc_tokens", "source", "phase", "round", "number", "at", "ids"]
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in common.slices(batch, "ids"):
+                raw, off = common.byte_view(b.column("ids"))
+                at, size, number, share, end = (b.column(c).to_numpy() for c in ("at", "n", "number", "share", "last"))
+                order = np.argsort(number, kind="stable")
+                cols: list[tuple[np.ndarray, ...]] = []
+                for own in np.split(order, np.flatnonzero(np.diff(number[order])) + 1):
+                    doc, *rest = walk(sums, steps, int(end[own[0]]), float(share[own[0]]), at[own], size[own], window, grain)
+                    cols.append((own[doc], *rest))
+                doc, where, length, phase, rnd = (np.concatenate(x) for x in zip(*cols, strict=True))
+                rows, start, data = pa.array(doc), where - at[doc], memoryview(raw)
+                lo = off[doc] + 4 * start
+                ids = pa.array([bytes(data[i:j]) for i, j in zip(lo.tolist(), (lo + 4 * length).tolist(), strict=True)], pa.binary())
+                arrays = [b.column("doc_id").take(rows), pa.array(start), pa.array(length), pa.array(size[doc]), b.column("source").take(rows), pa.array(phase), pa.array(rnd), pa.array(number[doc]), pa.array(where), ids]
+                yield pa.RecordBatch.from_arrays(arrays, fields)
+
+    def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid, came = TaskContext.get().partitionId(), 0
+        for b in batches:
+            size = b.column("length").to_numpy()
+            pos = came + np.cumsum(size) - size
+            came += int(size.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, pid, np.int32)), pa.array(pos), *(b.column(c) for c in ("doc_id", "start", "length", "doc_tokens", "source", "ids"))], ["pid", "pos", "doc_id", "start", "length", "doc_tokens", "source", "ids"])
+
+    rows = table.join(offsets, ["pid", "queue"]).select("source", "doc_id", "n", "ids", "number", "share", "last", (F.col("before") + F.col("ahead")).alias("at"))
+    sent = rows.mapInArrow(common.tidy(pieces), "doc_id long, start long, length long, doc_tokens long, source string, phase long, round long, number long, at long, ids binary")
+    key = ["phase", "round", "number", "at"]
+    ordered = scratch.save(sent).repartitionByRange(common.partitions(spark), *key).sortWithinPartitions(*key)
+    ordered = scratch.save(ordered.mapInArrow(common.tidy(running), "pid int, pos long, doc_id long, start long, length long, doc_tokens long, source string, ids binary"))
+    totals = sorted((r["pid"], r["n"]) for r in ordered.groupBy("pid").agg(F.sum("length").alias("n")).collect())  # one row for each partition
+    ahead = dict(zip([p for p, _ in totals], np.cumsum([0, *(n for _, n in totals)]).tolist(), strict=False))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in common.slices(batch, "ids"):
+                raw, off = common.byte_view(b.column("ids"))
+                pid, pos, start, length = (b.column(c).to_numpy() for c in ("pid", "pos", "start", "length"))
+                pos = pos + np.array([ahead[p] for p in pid.tolist()], np.int64)
+                n = (pos + length - 1) // window - pos // window + 1
+                which = np.repeat(np.arange(len(pos)), n)
+                nth = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+                lo = np.maximum(pos[which], (pos[which] // window + nth) * window)
+                size = np.minimum(pos[which] + length[which], (pos[which] // window + nth + 1) * window) - lo
+                byte, data, at = off[which] + 4 * (lo - pos[which]), memoryview(raw), pa.array(which)
+                parts = [data[i:j] for i, j in zip(byte.tolist(), (byte + 4 * size).tolist(), strict=True)]
+                arrays = [b.column("doc_id").take(at), pa.array(start[which] + lo - pos[which]), pa.array(size), pa.array([zlib.crc32(x) for x in parts], pa.int64()), b.column("doc_tokens").take(at), pa.array(lo // window), pa.array(lo % window), b.column("source").take(at)]
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
+                if with_ids:
+                    arrays.append(pa.array([np.frombuffer(x, "<u4") for x in parts], pa.list_(pa.uint32())).cast(pa.list_(pa.int64())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+    return ordered.mapInArrow(common.tidy(cut), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string" + ", ids array<long>" * with_ids)

@@ -385,6 +385,28 @@ def test_packing_follows_deficit_round_robin():
     assert every == set(range(sum(totals)))
 
 
+@pytest.mark.parametrize("shares", [None, {"s0": 0.7, "s1": 0.2}])
+def test_packing_beyond_the_queue_limit_keeps_the_schedule(docs, shares, monkeypatch):
+    want = plain(packing.pack(docs, shares, window=256, grain=8))
+    monkeypatch.setattr(packing, "MAX_QUEUES", 1)
+    assert plain(packing.pack(docs, shares, window=256, grain=8)) == want
+
+
+def test_packing_of_many_sources_keeps_shares(spark):
+    rows = [(i, "one two three four five " * (i % 3 + 1), f"d{i}") for i in range(1200)]
+    rows += [(2000 + i, "six seven eight nine ten " * 60, f"big{i % 2}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.pack(docs, {"big0": 0.75, "big1": 0.25}, window=512, grain=8).collect()
+    first = [r for r in got if r["sequence_id"] < 10]
+    part = lambda s: sum(r["length"] for r in first if r["source"] == s) / (10 * 512)
+    assert abs(part("big0") - 0.75) < 0.02 and abs(part("big1") - 0.25) < 0.02
+    at = 0
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["sequence_id"] * 512 + r["offset"] == at
+        at += r["length"]
+    assert len({r["doc_id"] for r in got}) == len(rows)
+
+
 def test_quality_rules(docs, rows):
     from collections import Counter
 
