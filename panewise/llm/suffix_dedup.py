@@ -10,14 +10,15 @@
    is left, different contexts under one anchor, needs their bytes.
 3. Run-length index. The bytes of those contexts, anchor by anchor, are
    indexed by a run-compressed Burrows-Wheeler transform with sampled run
-   ends. Every context is streamed backwards through it; a window whose
-   interval of matches of LENGTH bytes holds an earlier place is a repeat.
+   ends. Its full suffix array decides: a window whose run of rows with equal
+   prefixes of LENGTH bytes holds an earlier place is a repeat. Matching
+   statistics are not used here.
    Anchors with very many contexts are dealt over several indexes; the windows
    that are first in theirs then meet by window hash.
 4. The repeats of each document come together at its text and are cut out.
 
 Contexts and windows are compared by two 64-bit polynomial hashes of their
-bytes each; the index compares bytes. Order is (doc_id, row of the input,
+bytes each, prefixes in the index too. Order is (doc_id, row of the input,
 start); a null doc_id comes first.
 
 Cases: null text is an empty text; repeated rows and ids are judged in the
