@@ -51,11 +51,12 @@ class Scratch:
         out._scratch_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that no later action reads."""
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that no later action reads."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for df in tables:
+            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release_shuffles(spark: SparkSession) -> None:
@@ -182,6 +183,56 @@ def crc32_of(part: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(part, dtype="<u4").tobytes())
 
 
+BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes hashed at once; the rolling hash needs about 40 bytes for each.
+HASH_BYTES = 1 << 20
+_rng = np.random.default_rng(20240607)
+BYTE_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: The same for A-Z as for a-z.
+CASELESS_VALUES = BYTE_VALUES[[c + 32 if 65 <= c <= 90 else c for c in range(256)]]
+
+
+def powers(n: int, base: np.uint64) -> np.ndarray:
+    """base^0 .. base^(n-1) modulo 2^64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+class RollingHash:
+    """Hashes of any range of a sequence of 64-bit values, from one prefix sum."""
+
+    def __init__(self, values: np.ndarray, base: np.uint64 = BASE):
+        n = len(values)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(values * powers(n, base), out=self.sums[1:])
+        self.back = powers(n + 1, np.uint64(pow(int(base), -1, 1 << 64)))
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return (self.sums[ends] - self.sums[starts]) * self.back[starts]
+
+
+def range_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = BYTE_VALUES, piece: int | None = None) -> np.ndarray:
+    """A 64-bit hash of the bytes of each range; ranges are in order and apart. Bounded memory, also for a very long range."""
+    piece = piece or HASH_BYTES
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        a = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, a + piece, side="right")))
+        z = int(ends[j - 1])
+        if z - a <= piece:
+            out[i:j] = RollingHash(values[raw[a:z]]).of(starts[i:j] - a, ends[i:j] - a)
+        else:  # one long range, part by part
+            total = 0
+            for t in range(a, z, piece):
+                part = values[raw[t : min(t + piece, z)]]
+                total += int((part * powers(len(part), BASE)).sum(dtype=np.uint64)) * pow(int(BASE), t - a, 1 << 64)
+            out[i] = total & ((1 << 64) - 1)
+        i = j
+    return fmix(out + (ends - starts).astype(np.uint64))
+
+
 def fmix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (the public-domain Murmur3 mix)."""
     x = x ^ (x >> np.uint64(33))

@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from . import common
-from .quality_rules import BYTE_VALUES, RollingHash
 from .toxicity import labelled
 
 BUCKETS = 1 << 14
@@ -37,6 +36,7 @@ BLOCKS = 64  # of buckets, for the sum over tasks
 MAX_SAMPLE = 20_000
 HIDDEN = 32
 SLICE = 1 << 20
+POOLED = 1 << 17  # words pooled at once
 
 
 def _index() -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +63,7 @@ def word_slots(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     ends = np.append(starts[1:], len(raw))[: len(starts)]
     real = kind[starts] != 0
     starts, ends = starts[real], ends[real]
-    code = common.fmix(RollingHash(BYTE_VALUES[raw]).of(starts, ends) + (ends - starts).astype(np.uint64))
+    code = common.range_hashes(raw, starts, ends)
     return (code >> np.uint64(50)).astype(np.int64), np.searchsorted(starts, off)
 
 
@@ -119,14 +119,20 @@ def pool(raw: np.ndarray, off: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     slot, first = word_slots(raw, off)
     n = np.diff(first)
     out = np.zeros((len(n), 4 * DIM + 1))
-    some = np.flatnonzero(n)
-    if len(some):
-        x = vectors[slot]
-        at = first[:-1][some]
-        size = n[some][:, None]
-        mean = np.add.reduceat(x, at, axis=0, dtype=np.float64) / size
-        square = np.add.reduceat(x * x, at, axis=0, dtype=np.float64) / size
-        out[some] = np.concatenate([mean, np.sqrt(np.maximum(square - mean**2, 0)), np.log1p(size)], axis=1)
+    mean, square = np.zeros((2, len(n), 2 * DIM))
+    starts, filled = first[:-1][n > 0], np.flatnonzero(n)
+    for low in range(0, len(slot), POOLED):  # a long text comes in several parts
+        high = min(low + POOLED, len(slot))
+        here = np.searchsorted(starts, [low, high])
+        at = np.unique(np.append(starts[here[0] : here[1]], low))
+        doc = filled[np.searchsorted(starts, at, side="right") - 1]
+        x = vectors[slot[low:high]]
+        mean[doc] += np.add.reduceat(x, at - low, axis=0, dtype=np.float64)
+        square[doc] += np.add.reduceat(x * x, at - low, axis=0, dtype=np.float64)
+    if len(filled):
+        size = n[filled][:, None]
+        mean, square = mean[filled] / size, square[filled] / size
+        out[filled] = np.concatenate([mean, np.sqrt(np.maximum(square - mean**2, 0)), np.log1p(size)], axis=1)
     return out
 
 

@@ -5,8 +5,12 @@ powers of an odd base, modulo 2^64) find the n-grams and lines of a text that
 came before in it; the characters inside them, over all characters in words,
 are the coverage. All texts of a slice are handled at once in numpy.
 
+Equal hashes of 64 bits count as equal n-grams and lines.
+
 Cases: null and empty texts have no words and fail; every row is judged as it
-comes; an empty table gives no rows; further columns are ignored.
+comes, copies alike; a very long text is measured whole, in about 20 bytes of
+memory for each byte; an empty table gives no rows; further columns are
+ignored or carried.
 """
 
 from __future__ import annotations
@@ -20,41 +24,14 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Largest share of characters inside duplicated n-grams, by n: twice the published limits of large web
 #: corpora, as one repeated sentence in a short text of 60 words already reaches those.
 NGRAM_LIMITS = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
 LINE_LIMIT = 0.50  # duplicated lines among lines
 LINE_CHARS_LIMIT = 0.30  # characters in duplicated lines among characters in words
-SYMBOL_LIMIT = 0.10  # symbols for each word
 SYMBOLS = b"#*$%&|<>"
 
 
-def powers(n: int, base: np.uint64) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64."""
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-class RollingHash:
-    """Hashes of any range of a sequence of 64-bit values, from one prefix sum."""
-
-    def __init__(self, values: np.ndarray, base: np.uint64 = BASE):
-        n = len(values)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * powers(n, base), out=self.sums[1:])
-        self.back = powers(n + 1, np.uint64(pow(int(base), -1, 1 << 64)))
-
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return (self.sums[ends] - self.sums[starts]) * self.back[starts]
-
-
-_rng = np.random.default_rng(20240607)
-BYTE_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
 def seen_before(keys: np.ndarray) -> np.ndarray:
     """For each key whether an equal one stands before it."""
     order = np.argsort(keys, kind="stable")
@@ -76,8 +53,8 @@ def measure(raw: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     docs = len(off) - 1
     starts, ends, first = common.word_bounds(raw, off)
     n_words = np.diff(first)
-    chars = np.concatenate([[0], np.cumsum(raw & 0xC0 != 0x80)])
-    word_len = chars[ends] - chars[starts]
+    inner = np.flatnonzero(raw & 0xC0 == 0x80)  # bytes that begin no character
+    word_len = (ends - starts) - (np.searchsorted(inner, ends) - np.searchsorted(inner, starts))
     doc_of = np.repeat(np.arange(docs), n_words)
     salt = common.fmix(doc_of.astype(np.uint64) + np.uint64(1))
 
@@ -88,12 +65,10 @@ def measure(raw: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     out = {"n_words": n_words, "word_chars": total(word_len)}
     table = np.zeros(256, bool)
     table[list(SYMBOLS)] = True
-    s = np.concatenate([[0], np.cumsum(table[raw])])
-    out["n_symbols"] = s[off[1:]] - s[off[:-1]]
+    signs = np.searchsorted(np.flatnonzero(table[raw]), off)
+    out["n_symbols"] = np.diff(signs)
 
-    bytes_hash = RollingHash(BYTE_VALUES[raw])
-    word_hash = common.fmix(bytes_hash.of(starts, ends) + (ends - starts).astype(np.uint64))
-    grams = RollingHash(word_hash)
+    grams = common.RollingHash(common.range_hashes(raw, starts, ends))
     n = len(starts)
     last = first[1:][doc_of] if n else np.zeros(0, np.int64)
     at = np.arange(n)
@@ -120,7 +95,7 @@ def measure(raw: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     real = words_in > 0
     lo, hi = lo[real], hi[real]
     owner = np.searchsorted(off, lo, side="right") - 1
-    dup = seen_before(common.fmix(bytes_hash.of(lo, hi) + (hi - lo).astype(np.uint64)) ^ common.fmix(owner.astype(np.uint64) + np.uint64(1)))
+    dup = seen_before(common.range_hashes(raw, lo, hi) ^ common.fmix(owner.astype(np.uint64) + np.uint64(1)))
     out["n_lines"] = np.bincount(owner, minlength=docs)
     out["n_dup_lines"] = np.bincount(owner[dup], minlength=docs)
     ahead = np.concatenate([[0], np.cumsum(word_len)])
@@ -132,7 +107,7 @@ def measure(raw: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
 def judge(m: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """base_failed and kept."""
     base_failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
-    bad = m["n_symbols"] > SYMBOL_LIMIT * m["n_words"]
+    bad = np.zeros(len(base_failed), bool)
     for size, limit in NGRAM_LIMITS.items():
         bad |= m[f"dup{size}_chars"] > limit * m["word_chars"]
     bad |= m["n_dup_lines"] > LINE_LIMIT * m["n_lines"]

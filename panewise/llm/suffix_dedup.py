@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .quality_rules import BYTE_VALUES, RollingHash
+from .common import BYTE_VALUES, RollingHash
 
 LENGTH = 100
 GRAM = 32
