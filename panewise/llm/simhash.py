@@ -41,6 +41,8 @@ SIMILARITY = 0.8
 WIDE = 26
 #: Words of 64 bits in the parity sketch of a shingle set.
 SKETCH = 8
+#: Rounds in which only as many pairs are compared as would connect all that may be similar; one round of all pairs left follows.
+ROUNDS = 2
 #: Slots of the table that orders shingles by how common they are.
 SLOTS = 1 << 18
 
@@ -67,8 +69,8 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0]) if len(hashes) else 0
 
 
-def fingerprints(data: DataFrame, size: int, once: bool = False) -> DataFrame:
-    """All columns but ``text``, and fp (as a signed 64-bit integer); ``once``: of the distinct shingles, so that equal sets have equal fp."""
+def fingerprints(data: DataFrame, size: int) -> DataFrame:
+    """All columns but ``text``, and fp (as a signed 64-bit integer)."""
     carry = [c for c in data.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +79,7 @@ def fingerprints(data: DataFrame, size: int, once: bool = False) -> DataFrame:
                 raw, off = common.byte_view(common.texts(b))
                 content = raw.tobytes()
                 hashes = (shingle_hashes(content[i:j], size) for i, j in itertools.pairwise(off.tolist()))
-                fp = [fingerprint(np.unique(x) if once else x) for x in hashes]
+                fp = [fingerprint(x) for x in hashes]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), pa.array(np.array(fp, np.uint64).view(np.int64))], [*carry, "fp"])
 
     return data.mapInArrow(common.tidy(run), data.drop("text").schema.add("fp", "long"))
@@ -140,7 +142,7 @@ def within(planes: np.ndarray, rows: int, mask: np.ndarray, radius: int) -> np.n
 def forest(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links between rows of one group, as pairs of linked rows; groups are runs."""
     label = np.arange(len(fp))
-    tree: list[tuple[int, int]] = []
+    tree = [np.zeros((0, 2), np.int64)]
     index = np.arange(len(fp))
     lag = 1
     while True:
@@ -158,23 +160,12 @@ def forest(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray,
             a, b = label[index[rows]], label[index[rows + lag]]
             new = a != b
             if new.any():
-                for x, y, pair in zip(a[new].tolist(), b[new].tolist(), zip(index[rows[new]].tolist(), index[rows[new] + lag].tolist(), strict=True), strict=True):
-                    while label[x] != x:
-                        x = label[x]
-                    while label[y] != y:
-                        y = label[y]
-                    if x != y:
-                        label[max(x, y)] = min(x, y)
-                        tree.append(pair)
-                while True:
-                    up = label[label]
-                    if (up == label).all():
-                        break
-                    label = up
+                rows = rows[new][join_labels(label, a[new], b[new])]
+                tree.append(np.stack([index[rows], index[rows + lag]], axis=1))
             lag += 1
         if not left:
             break
-    pairs = np.array(tree, np.int64).reshape(-1, 2)
+    pairs = np.concatenate(tree)
     return pairs[:, 0], pairs[:, 1]
 
 
@@ -241,95 +232,152 @@ def links(distinct: DataFrame, radius: int, blocks: int, scratch: common.Scratch
         rows = rows.select("key", F.lit(0).cast("long").alias("cell"), "fp")
     n = common.partitions(spark)
     found = rows.repartition(n, "key", "cell").sortWithinPartitions("key", "cell", "fp").mapInArrow(common.tidy(lambda it: compare(it, radius)), "u long, v long")
-    return scratch.save(found.distinct())
+    out = scratch.save(found.distinct())
+    scratch.drop(hot)
+    return out
 
 
 def components(edges: DataFrame, scratch: common.Scratch) -> DataFrame:
-    """node, root: the least node of each component, for all nodes but the roots."""
+    """node, root: the least node of each component, for all nodes but the roots. A scratch table."""
     star = scratch.save(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
 
-    def digest(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+    def is_star() -> bool:
+        """Each u has one v, and no v is a u."""
+        ends = star.select(F.col("u").alias("x"), F.lit(1).alias("low"), F.lit(0).alias("high")).union(star.select(F.col("v").alias("x"), F.lit(0).alias("low"), F.lit(1).alias("high")))
+        return ends.groupBy("x").agg(F.sum("low").alias("low"), F.max("high").alias("high")).where("low > 1 OR low > 0 AND high > 0").limit(1).count() == 0
 
-    state = digest(star)
-    while state[0]:
+    while not is_star():
         both = star.union(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        new = scratch.save(small)
-        scratch.drop(star)
-        star, before = new, state
-        state = digest(star)
-        if state == before:
-            break
-    return star.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
-def connect(table: DataFrame, radius: int, blocks: int, scratch: common.Scratch) -> DataFrame:
-    """node, root for the fingerprints of a table that are not roots of their component."""
-    distinct = scratch.save(table.select("fp").distinct())
-    out = components(links(distinct, radius, blocks, scratch), scratch)
-    common.release_shuffles(table.sparkSession)
-    return out
+        before, star = star, scratch.save(small)
+        scratch.drop(before)
+    named = star.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    named._scratch_path = star._scratch_path
+    return named
 
 
 def near_components(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint, component_id (the least doc_id that links reach) of each document."""
-    scratch = common.Scratch(docs.sparkSession, "simhash")
+    spark = docs.sparkSession
+    scratch = common.Scratch(spark, "simhash")
     data = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     table = scratch.save(fingerprints(data, shingle))
-    roots = connect(table, radius, blocks, scratch)
-    least = table.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    rooted = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = scratch.save(rooted)
+    least = scratch.save(table.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    found = links(least.select("fp"), radius, blocks, scratch)
+    roots = components(found, scratch)
+    scratch.drop(found)
+    rooted = scratch.save(least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    scratch.drop(least, roots)
+    common.release_shuffles(spark)
     by_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = rooted.join(by_root, "root").select("fp", "component_id")
     return table.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def word_sets(batch: pa.RecordBatch, size: int) -> list[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles of ``size`` words (fewer words: of all of them; none: nothing)."""
+    raw, off = common.byte_view(common.texts(batch))
+    starts, ends, first = common.word_bounds(raw, off)
+    word = common.range_hashes(raw, starts, ends, common.CASELESS_VALUES)
+    grams = word[: max(0, len(word) - size + 1)].copy()
+    for j in range(1, size):
+        grams = grams * common.BASE + word[j : j + len(grams)]
+    grams = common.fmix(grams + np.uint64(size))
+    out = []
+    for i, j in itertools.pairwise(first.tolist()):
+        if j - i >= size:
+            out.append(np.unique(grams[i : j - size + 1]))
+            continue
+        total = 0
+        for w in word[i:j].tolist():
+            total = (total * int(common.BASE) + w) & ((1 << 64) - 1)
+        out.append(common.fmix(np.array([total + j - i] if j > i else [], np.uint64)))
+    return out
+
+
 def parity(hashes: np.ndarray) -> np.ndarray:
     """A sketch of a set: bit i is the parity of the hashes that fall on i. Two sketches differ in no more bits than the sets in elements."""
     bits = np.bincount((hashes >> np.uint64(32)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little")
 
 
-def possible_pairs(root: np.ndarray, n: np.ndarray, at: np.ndarray, sketch: np.ndarray, group: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one group (groups are runs), of different root, that may be similar: no similar pair is lost.
+def described(data: DataFrame, size: int) -> DataFrame:
+    """uid, dk and, of each text's shingle set: fp (SimHash), n (elements), key (a hash of the whole set, 0 for the empty one) and sketch."""
+    names = ["uid", "dk", "fp", "n", "key", "sketch"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in common.slices(batch):
+                sets = word_sets(b, size)
+                fp = np.array([fingerprint(x) for x in sets], np.uint64).view(np.int64)
+                key = np.array([xxhash.xxh64_intdigest(x.tobytes()) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("dk"), pa.array(fp), pa.array([len(x) for x in sets], pa.int32()), pa.array(key), pa.array([parity(x).tobytes() for x in sets], pa.binary())], names)
+
+    return data.mapInArrow(common.tidy(run), "uid long, dk long, fp long, n int, key long, sketch binary")
+
+
+def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Join the classes of a[i] and b[i], one by one; which of these joined two classes. ``label`` points to smaller members and is changed."""
+    new = np.zeros(len(a), bool)
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        while label[x] != x:
+            x = label[x]
+        while label[y] != y:
+            y = label[y]
+        if x != y:
+            label[max(x, y)] = min(x, y)
+            new[i] = True
+    while (label[label] != label).any():
+        label[:] = label[label]
+    return new
+
+
+def pair_blocks(root: np.ndarray, n: np.ndarray, at: np.ndarray, sketch: np.ndarray, group: np.ndarray, similarity: float, forest: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group (groups are runs), of different root, that may be similar, in blocks of bounded size: no similar pair is lost.
 
     Sets of similarity t share at least t / (1 + t) of their summed sizes. At the
     first shared shingle, only it and what follows it can be shared; and the
-    sketches tell apart at most the elements that are not shared.
+    sketches tell apart at most the elements that are not shared. With
+    ``forest`` only pairs that connect roots which the pairs before did not.
     """
+    root = np.unique(root, return_inverse=True)[1]
+    label = np.arange(root.max(initial=-1) + 1)
     index, lag = np.arange(len(n)), 1
-    out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     while True:
         size = np.bincount(np.cumsum(np.append(0, group[index[1:]] != group[index[:-1]]))) if len(index) else np.zeros(0, np.int64)
         index = index[np.repeat(size > lag, size)]
         if not len(index):
-            return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+            return
         sizes = size[size > lag]
-        held = [x[index] for x in (group, root, n, n - at)]
+        g, m, rest = (x[index] for x in (group, n, n - at))
+        r = label[root[index]]
         while 2 * int(sizes[sizes > lag].sum()) > len(index):  # lay out anew when half of the rows are done
-            (g, r, m, rest), (g2, r2, m2, rest2) = ([x[:-lag] for x in held], [x[lag:] for x in held])
-            total = m + m2
+            total = m[:-lag] + m[lag:]
             need = similarity / (1 + similarity) * total - 1e-6
-            fit = np.flatnonzero((g == g2) & (r != r2) & (np.minimum(m, m2) >= similarity * np.maximum(m, m2) - 1e-9) & (np.minimum(rest, rest2) >= need))
+            fit = (g[:-lag] == g[lag:]) & (r[:-lag] != r[lag:]) & (np.minimum(m[:-lag], m[lag:]) >= similarity * np.maximum(m[:-lag], m[lag:]) - 1e-9)
+            fit = np.flatnonzero(fit & (np.minimum(rest[:-lag], rest[lag:]) >= need))
             for first in range(0, len(fit), BATCH):
                 rows = fit[first : first + BATCH]
                 one, two = index[rows], index[rows + lag]
                 apart = np.bitwise_count(sketch[one] ^ sketch[two]).sum(1, dtype=np.int64)
                 close = apart <= total[rows] - 2 * need[rows]
-                out.append((one[close], two[close]))
+                one, two = one[close], two[close]
+                if forest and len(one):
+                    new = join_labels(label, label[root[one]], label[root[two]])
+                    one, two = one[new], two[new]
+                    r = label[root[index]]
+                if len(one):
+                    yield one, two
             lag += 1
 
 
-def set_hashes(batch: pa.RecordBatch, size: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text of a batch."""
-    raw, off = common.byte_view(common.texts(batch))
-    content = raw.tobytes()
-    return [np.unique(shingle_hashes(content[i:j], size)) for i, j in itertools.pairwise(off.tolist())]
+def possible_pairs(root: np.ndarray, n: np.ndarray, at: np.ndarray, sketch: np.ndarray, group: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """All blocks of ``pair_blocks`` together."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64)), *pair_blocks(root, n, at, sketch, group, similarity)]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def shingle_weights(data: DataFrame, size: int) -> np.ndarray:
@@ -343,7 +391,7 @@ def shingle_weights(data: DataFrame, size: int) -> np.ndarray:
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for b in common.slices(batch):
-                for hashes in set_hashes(b, size):
+                for hashes in word_sets(b, size):
                     np.add.at(total, (hashes % np.uint64(SLOTS)).astype(np.int64), 1)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["slot", "n"])
@@ -355,46 +403,59 @@ def shingle_weights(data: DataFrame, size: int) -> np.ndarray:
 
 
 def prefix_rows(data: DataFrame, weights: np.ndarray, size: int, similarity: float) -> DataFrame:
-    """h, uid, root, fp, n, at: the prefix of each text's shingles, the rarest first, and the place ``at`` of each.
+    """h, key, n, at: the prefix of each set, the rarest shingles first, and the place ``at`` of each.
 
     Two sets of similarity t share an element of their first n - ceil(t n) + 1
-    under any common order, so no similar pair lacks a common h.
+    under any common order, so no similar pair lacks a common h. A task sends
+    equal sets once.
     """
     held = data.sparkSession.sparkContext.broadcast(weights)
-    names = ["h", "uid", "root", "fp", "n", "at"]
+    names = ["h", "key", "n", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = held.value
+        sent: set[int] = set()
         for batch in batches:
             for b in common.slices(batch):
-                uid, root, mark = (b.column(c).to_numpy() for c in ("uid", "root", "fp"))
-                heads, counts = [np.zeros(0, np.uint64)], []
-                for hashes in set_hashes(b, size):
+                heads, keys, counts = [np.zeros(0, np.uint64)], [], []
+                for hashes in word_sets(b, size):
                     n = len(hashes)
-                    first = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+                    key = xxhash.xxh64_intdigest(hashes.tobytes())
+                    if not n or key in sent:
+                        continue
+                    sent.add(key)
+                    first = n - int(np.ceil(similarity * n - 1e-9)) + 1
                     heads.append(hashes[np.argsort(order[(hashes % np.uint64(SLOTS)).astype(np.int64)], kind="stable")[:first]])
+                    keys.append(key)
                     counts.append((first, n))
                 first, n = np.array(counts, np.int64).reshape(-1, 2).T
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(heads).view(np.int64)), *(pa.array(np.repeat(x, first)) for x in (uid, root, mark)), pa.array(np.repeat(n, first).astype(np.int32)), pa.array((np.arange(first.sum()) - np.repeat(np.cumsum(first) - first, first)).astype(np.int32))], names
-                )
+                key = np.repeat(np.array(keys, np.uint64).view(np.int64), first)
+                at = np.arange(first.sum()) - np.repeat(np.cumsum(first) - first, first)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(key), pa.array(np.repeat(n, first).astype(np.int32)), pa.array(at.astype(np.int32))], names)
 
-    return data.select("uid", "root", "fp", "text").mapInArrow(common.tidy(run), "h long, uid long, root long, fp long, n int, at int")
+    return data.select("text").mapInArrow(common.tidy(run), "h long, key long, n int, at int")
 
 
-def candidates(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows (h, cell, uid, root, n, at, sketch) come sorted; pairs of equal (h, cell) and different root that may be similar."""
-    names = ("h", "cell", "uid", "root", "n", "at")
+def candidates(batches: Iterator[pa.RecordBatch], similarity: float, forest: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (h, cell, key, root, n, at, sketch) come sorted; pairs of equal (h, cell) and different root that may be similar (``forest``: as many as connect them)."""
+    names = ("h", "cell", "key", "root", "n", "at")
     held: list[tuple[np.ndarray, ...]] = []
     count = 0
 
-    def judge(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        h, cell, uid, root, n, at, sketch = rows
+    def judge(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        h, cell, key, root, n, at, sketch = rows
         group = np.cumsum(np.append(0, (h[1:] != h[:-1]) | (cell[1:] != cell[:-1])))
-        one, two = possible_pairs(root, n.astype(np.int64), at.astype(np.int64), sketch, group, similarity)
-        pairs = np.stack([uid[one], uid[two]], axis=1)
-        pairs = np.unique(np.stack([pairs.max(1), pairs.min(1)], axis=1), axis=0) if len(pairs) else pairs
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+        some, size = [], 0
+        for one, two in pair_blocks(root, n.astype(np.int64), at.astype(np.int64), sketch, group, similarity, forest):
+            some.append(np.stack([np.maximum(key[one], key[two]), np.minimum(key[one], key[two])], axis=1))
+            size += len(one)
+            if size >= BATCH:
+                some, size = [np.unique(np.concatenate(some), axis=0)], 0
+                yield pa.RecordBatch.from_arrays([pa.array(some[0][:, 0]), pa.array(some[0][:, 1])], ["u", "v"])
+                some = []
+        if some:
+            pairs = np.unique(np.concatenate(some), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
     for b in batches:
         if not b.num_rows:
@@ -407,67 +468,53 @@ def candidates(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator
             edge = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
             cut = int(edge[-1]) + 1 if len(edge) else 0  # the last bucket may go on
             if cut:
-                yield judge(tuple(x[:cut] for x in rows))
+                yield from judge(tuple(x[:cut] for x in rows))
             held, count = [tuple(x[cut:] for x in rows)], len(rows[0]) - cut
     if count:
-        yield judge(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield from judge(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
-def mixed_buckets(rows: DataFrame, scratch: common.Scratch) -> DataFrame:
-    """The rows of buckets that hold more than one root, with the bucket's size ``total``."""
-    seen = rows.groupBy("h").agg(F.count("*").alias("total"), F.min("root").alias("a"), F.max("root").alias("b"))
-    keep = scratch.save(seen.where("a != b").select("h", "total"))
-    return rows.join(F.broadcast(keep) if keep.count() <= BROADCAST_ROWS else keep, "h")
+def mixed_buckets(rows: DataFrame, by: str, scratch: common.Scratch) -> DataFrame:
+    """The rows of buckets in which ``by`` differs. A scratch table."""
+    seen = rows.groupBy("h").agg(F.min(by).alias("a"), F.max(by).alias("b"))
+    keep = scratch.save(seen.where("a != b").select("h"))
+    out = scratch.save(rows.join(F.broadcast(keep) if keep.count() <= BROADCAST_ROWS else keep, "h").distinct())
+    scratch.drop(keep)
+    return out
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 4, blocks: int = 6, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without near copies; one document of each group stays, all columns as they came.
+def bucket_cells(rows: DataFrame) -> DataFrame:
+    """Rows with a cell: rows of one bucket that may be similar, and differ in root, meet in one cell at least.
 
-    Two texts are linked if the Jaccard similarity of their shingle sets is at
-    least ``similarity``. Groups are the components of links, and their least
-    document (by id, then row) stays. First texts with fingerprints within
-    ``radius`` bits are compared, each with its nearest smaller neighbour; this
-    joins nearly all copies. Then texts of different groups that share one of
-    their rarest shingles (as all linked ones do) are compared as sets: first
-    each with the least of its bucket, if their fingerprints are within
-    ``WIDE`` bits; then all pairs still in different groups, but those whose
-    sizes, places or parity sketches prove that they are not similar. The
-    fingerprints are of the distinct shingles. Texts without words are one
-    group.
+    A bucket of up to ``HOT`` rows is one cell. In a larger one, the rows of its
+    most frequent root need not meet each other: each goes to one chunk of its
+    own, times the chunks of the others, which are dealt to all pairs of chunks.
     """
-    spark = docs.sparkSession
-    scratch = common.Scratch(spark, "near")
-    mine = common.fresh(docs, "__uid")
-    numbered = common.numbered(docs, mine, scratch)
-    least = F.lit(-(1 << 63)).cast("long")
-    data = numbered.select(F.col(mine).alias("uid"), F.coalesce(F.col(f"`{id_col}`").cast("long"), least).alias("dk"), F.col(f"`{text_col}`").alias("text"))
-    table = scratch.save(fingerprints(data, shingle, once=True))
-    edges = links(scratch.save(table.select("fp").distinct()), radius, blocks, scratch)
-    common.release_shuffles(spark)
+    by_root = rows.groupBy("h", "root").agg(F.count("*").alias("c"))
+    bucket = by_root.groupBy("h").agg(F.sum("c").alias("total"), F.max(F.struct("c", F.col("root").alias("r"))).alias("m")).where(F.col("total") > HOT)
+    sized = rows.join(bucket.select("h", "total", F.col("m.c").alias("most"), F.col("m.r").alias("main")), "h", "left")
+    chunks = lambda n: F.ceil(n / HOT).cast("long")
+    own = lambda n: F.pmod(F.xxhash64("key"), n)
+    a, b = chunks(F.col("most")), chunks(F.greatest(F.col("total") - F.col("most"), F.lit(1)))
+    steps = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    with_main = lambda i, j: i * b + j  # noqa: E731  chunk i of the main root, chunk j of the others
+    among = lambda i, j: a * b + F.least(i, j) * b + F.greatest(i, j)
+    main = F.transform(steps(b), lambda j: with_main(own(a), j))
+    others = F.concat(F.transform(steps(a), lambda i: with_main(i, own(b))), F.transform(steps(b), lambda j: among(own(b), j)))
+    cells = F.when(F.col("total").isNull(), F.array(F.lit(0).cast("long"))).when(F.col("root") == F.col("main"), main).otherwise(others)
+    return sized.withColumn("cell", F.explode(cells)).drop("total", "most", "main")
+
+
+def similar_pairs(pairs: DataFrame, data: DataFrame, nodes: DataFrame, size: int, similarity: float, scratch: common.Scratch) -> DataFrame:
+    """Of pairs (u, v) of set keys, those whose sets are similar. A scratch table."""
+    ends = nodes.select("key", "uid").join(pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct(), "key")
+    ends = scratch.save(ends)
+    members = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in common.slices(batch):
-                sets = [x.astype("<u8").tobytes() for x in set_hashes(b, shingle)]
-                yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("dk"), b.column("fp"), pa.array(sets, pa.binary())], ["uid", "dk", "fp", "set"])
-
-    def sets_of(members: DataFrame) -> DataFrame:
-        rows = data.select("uid", "text").join(members, "uid").select("uid", "dk", "fp", "text")
-        return scratch.save(rows.mapInArrow(common.tidy(hashes), "uid long, dk long, fp long, set binary"))
-
-    linked = edges.select(F.col("u").alias("fp")).union(edges.select(F.col("v").alias("fp"))).union(table.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")).distinct()
-    sets = sets_of(table.join(linked, "fp").select("uid", "dk", "fp"))
-    common.release_shuffles(spark)
-    # texts with equal sets are one node, which the first of them stands for
-    nodes = scratch.save(sets.groupBy("fp", F.sha2("set", 256).alias("key")).agg(F.min(F.struct("dk", "uid")).alias("f")).select("fp", F.col("f.dk").alias("dk"), F.col("f.uid").alias("uid")))
-    copies = scratch.save(sets.select("uid").join(nodes.select("uid"), "uid", "left_anti"))
-    lead = nodes.groupBy("fp").agg(F.min(F.struct("dk", "uid")).alias("f")).select("fp", F.col("f.uid").alias("lead"))
-    same_fp = nodes.join(lead, "fp").where("uid != lead").select(F.col("uid").alias("u"), F.col("lead").alias("v"))
-    low, high = F.least("u", "v"), F.greatest("u", "v")
-    between = edges.select(high.alias("u"), low.alias("v"), F.bit_count(F.col("u").bitwiseXOR(F.col("v"))).alias("d"))
-    nearest = between.groupBy("u").agg(F.min(F.struct("d", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
-    one, two = lead.select(F.col("fp").alias("u"), F.col("lead").alias("a")), lead.select(F.col("fp").alias("v"), F.col("lead").alias("b"))
-    nearest = nearest.join(one, "u").join(two, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+                yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([x.astype("<u8").tobytes() for x in word_sets(b, size)], pa.binary())], ["key", "set"])
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -479,52 +526,105 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 4, blocks:
             keep = pa.array(near, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("u").filter(keep), b.column("v").filter(keep)], ["u", "v"])
 
-    def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
-        one, two = known.select(F.col("uid").alias("u"), F.col("set").alias("x")), known.select(F.col("uid").alias("v"), F.col("set").alias("y"))
-        out = scratch.save(pairs.join(one, "u").join(two, "v").select("u", "v", "x", "y").mapInArrow(common.tidy(similar), "u long, v long"))
-        common.release_shuffles(spark)
-        return out
+    sets = scratch.save(data.select("uid", "text").join(members, "uid").select("key", "text").mapInArrow(common.tidy(hashes), "key long, set binary"))
+    one, two = sets.select(F.col("key").alias("u"), F.col("set").alias("x")), sets.select(F.col("key").alias("v"), F.col("set").alias("y"))
+    out = scratch.save(pairs.join(one, "u").join(two, "v").select("u", "v", "x", "y").mapInArrow(common.tidy(similar), "u long, v long"))
+    scratch.drop(ends, sets)
+    common.release_shuffles(scratch.spark)
+    return out
+
+
+def simhash_pairs(nodes: DataFrame, radius: int, blocks: int, scratch: common.Scratch) -> DataFrame:
+    """u, v: set keys whose fingerprints are within ``radius`` bits: of each fingerprint all with the first, and the first with that of the nearest smaller one."""
+    lead = scratch.save(nodes.groupBy("fp").agg(F.min("key").alias("lead")))
+    edges = links(lead.select("fp"), radius, blocks, scratch)
+    between = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), F.bit_count(F.col("u").bitwiseXOR(F.col("v"))).alias("d"))
+    nearest = between.groupBy("u").agg(F.min(F.struct("d", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
+    one, two = lead.select(F.col("fp").alias("u"), F.col("lead").alias("a")), lead.select(F.col("fp").alias("v"), F.col("lead").alias("b"))
+    nearest = nearest.join(one, "u").join(two, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    same_fp = nodes.select("fp", "key").join(lead, "fp").where("key != lead").select(F.col("key").alias("u"), F.col("lead").alias("v"))
+    out = scratch.save(nearest.union(same_fp))
+    scratch.drop(lead, edges)
+    return out
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.save(pairs)
-        ends = pairs.select(F.col("u").alias("uid")).union(pairs.select(F.col("v").alias("uid"))).distinct()
-        return verified(pairs, sets_of(table.select("uid", "dk", "fp").join(ends, "uid")))
 
-    def rooted(rows: DataFrame, found: DataFrame) -> DataFrame:
-        tree = scratch.save(components(found, scratch))
-        return rows.join(tree, F.col("uid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "uid")).drop("node")
+def head_pairs(mixed: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """u, v: each set of a bucket with the bucket's smallest one, where size, fingerprint and sketch leave it likely that they are similar."""
+    head = mixed.groupBy("h").agg(F.min(F.struct("n", "key")).alias("f"))
+    pairs = mixed.join(head, "h").where((F.col("key") != F.col("f.key")) & (F.col("f.n") >= similarity * F.col("n") - 1e-9)).select(F.col("key").alias("u"), F.col("f.key").alias("v")).distinct()
+    own = lambda k: nodes.select(F.col("key").alias(k), F.struct("n", "fp", "sketch").alias(f"of_{k}"))
+    both = pairs.join(own("u"), "u").join(own("v"), "v")
+    word = lambda k, i: F.conv(F.hex(F.substring(F.col(f"of_{k}.sketch"), 8 * i + 1, 8)), 16, -10).cast("long")
+    apart = sum(F.bit_count(word("u", i).bitwiseXOR(word("v", i))) for i in range(SKETCH))
+    most = (F.col("of_u.n") + F.col("of_v.n")) * ((1 - similarity) / (1 + similarity))
+    near = F.bit_count(F.col("of_u.fp").bitwiseXOR(F.col("of_v.fp"))) <= WIDE
+    return both.where(near & (apart <= most + 1e-6)).select("u", "v")
 
-    first = verified(nearest.union(same_fp), sets)
-    each = rooted(table.select("uid", "fp").join(copies, "uid", "left_anti"), first)
-    weights = shingle_weights(data, shingle)
-    rows = scratch.save(prefix_rows(data.select("uid", "text").join(each, "uid"), weights, shingle, similarity))
+
+def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 4, blocks: int = 6, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without near copies; one document of each group stays, all columns as they came.
+
+    Two texts are linked if the Jaccard similarity of their shingle sets is at
+    least ``similarity``. Groups are the components of links, and their least
+    document (by id, then row) stays. Equal sets are one node. First nodes with
+    fingerprints (of their distinct shingles) within ``radius`` bits, and nodes
+    with the smallest node of a bucket of a rare shingle, are compared as sets;
+    this joins nearly all copies. Then nodes of different groups that share one
+    of their rarest shingles (as all linked ones do) are compared, but those
+    whose sizes, places or parity sketches prove that they are not similar:
+    ``ROUNDS`` times a spanning forest of such pairs, so that a large group is
+    joined without all of its pairs, and at last all that are left.
+    Neither ``radius`` nor ``WIDE`` decides a link: what they pass over is
+    compared after that.
+
+    Null and empty texts, and others without words, are one group; a null id
+    comes first; repeated rows are copies; very long texts are read whole (about
+    30 bytes of memory for each byte); an empty table gives no rows; further
+    columns are carried, whatever their names. Sets are compared by 64-bit
+    hashes of their shingles, and equal sets are found by a 64-bit hash.
+    """
+    spark = docs.sparkSession
+    scratch = common.Scratch(spark, "near")
+    mine = common.fresh(docs, "__uid")
+    numbered = common.numbered(docs, mine, scratch)
+    least = F.lit(-(1 << 63)).cast("long")
+    data = numbered.select(F.col(mine).alias("uid"), F.coalesce(F.col(f"`{id_col}`").cast("long"), least).alias("dk"), F.col(f"`{text_col}`").alias("text"))
+    table = scratch.save(described(data, shingle))
+    nodes = scratch.save(table.groupBy("key").agg(F.min(F.struct("dk", "uid")).alias("f"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("sketch").alias("sketch")).select("key", "f.dk", "f.uid", "fp", "n", "sketch"))
+    by_print = simhash_pairs(nodes, radius, blocks, scratch)
+    rows = scratch.save(prefix_rows(data, shingle_weights(data, shingle), shingle, similarity))
+    mixed = mixed_buckets(rows, "key", scratch)
+    scratch.drop(rows)
     common.release_shuffles(spark)
-    mixed = scratch.save(mixed_buckets(rows, scratch).select("h", "uid", "fp", "n", "at", "root"))
-    head = mixed.groupBy("h").agg(F.min(F.struct("n", "uid", "fp", "root")).alias("f"))
-    near_head = (F.col("root") != F.col("f.root")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("f.fp"))) <= WIDE) & (F.col("f.n") >= similarity * F.col("n") - 1e-9)
-    leads = mixed.join(head, "h").where(near_head).select(F.greatest("uid", "f.uid").alias("u"), F.least("uid", "f.uid").alias("v")).distinct()
-    second = compared(leads)
-    both = first.union(second)
-    left = scratch.save(mixed_buckets(scratch.save(rooted(mixed.drop("root", "fp"), both)), scratch))
-
-    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in common.slices(batch):
-                bits = [parity(x).tobytes() for x in set_hashes(b, shingle)]
-                yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array(bits, pa.binary())], ["uid", "sketch"])
-
-    asked = data.select("uid", "text").join(left.select("uid").distinct(), "uid").mapInArrow(common.tidy(sketches), "uid long, sketch binary")
-    left = left.join(scratch.save(asked), "uid")
-    chunks = F.ceil(F.col("total") / HOT).cast("long")
-    own = F.pmod(F.xxhash64("uid"), chunks)
-    pair = lambda other: F.least(own, other) * chunks + F.greatest(own, other)
-    cells = left.select("h", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), pair)).alias("cell"), "uid", "root", "n", "at", "sketch")
-    cells = cells.repartition(common.partitions(spark), "h", "cell").sortWithinPartitions("h", "cell", "uid")
-    rest = cells.mapInArrow(common.tidy(lambda it: candidates(it, similarity)), "u long, v long").distinct().join(second, ["u", "v"], "left_anti")
-    final = components(both.union(compared(rest)), scratch)
-    ends = scratch.save(final.select(F.col("node").alias("uid"), "root").union(final.select(F.col("root").alias("uid"), "root").distinct()))
-    grouped = table.select("uid", "dk").join(ends, "uid")
+    tried = by_print.union(head_pairs(mixed, nodes, similarity))
+    tried = scratch.save(tried.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    scratch.drop(by_print)
+    edges = similar_pairs(tried, data, nodes, shingle, similarity, scratch)
+    turn = 0
+    while turn <= ROUNDS:
+        tree = components(edges, scratch)
+        rooted = mixed.select("h", "key", "n", "at").join(tree, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node")
+        rooted = scratch.save(rooted)
+        scratch.drop(mixed)
+        mixed = mixed_buckets(rooted, "root", scratch)
+        cells = bucket_cells(mixed).join(nodes.select("key", "sketch"), "key").withColumn("place", F.xxhash64("key", "h", F.lit(turn)))  # other pairs first in each bucket and round
+        cells = cells.repartition(common.partitions(spark), "h", "cell").sortWithinPartitions("h", "cell", "place", "key")
+        made = cells.mapInArrow(common.tidy(lambda it, few=turn < ROUNDS: candidates(it, similarity, few)), "u long, v long").distinct()
+        asked = scratch.save(made.join(tried, ["u", "v"], "left_anti"))
+        scratch.drop(rooted)
+        common.release_shuffles(spark)
+        new = similar_pairs(asked, data, nodes, shingle, similarity, scratch)
+        turn = turn + 1 if turn == ROUNDS or not new.isEmpty() else ROUNDS
+        old, edges = edges, scratch.save(tree.select(F.col("node").alias("u"), F.col("root").alias("v")).union(new))
+        before, tried = tried, scratch.save(tried.union(asked))
+        scratch.drop(old, tree, new, before, asked)
+    final = components(edges, scratch)
+    grouped = nodes.select("key", "dk", "uid").join(final, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
+    grouped = scratch.save(grouped.select("key", "dk", "uid", "root"))
+    scratch.drop(mixed, tried, edges, final, nodes)
     stays = grouped.groupBy("root").agg(F.min(F.struct("dk", "uid")).alias("f")).select(F.col("f.uid").alias("uid"))
-    gone = scratch.save(grouped.select("uid").join(stays, "uid", "left_anti").union(copies).select(F.col("uid").alias(mine)))
+    stays = scratch.save(stays)
+    gone = scratch.save(table.select("uid").join(stays, "uid", "left_anti").select(F.col("uid").alias(mine)))
+    scratch.drop(grouped, stays, table)
     common.release_shuffles(spark)
-    return numbered.join(gone, mine, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return numbered.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, mine, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
