@@ -10,15 +10,17 @@
    is left, different contexts under one anchor, needs their bytes.
 3. Run-length index. The bytes of those contexts, anchor by anchor, are
    indexed by a run-compressed Burrows-Wheeler transform with sampled run
-   ends. Its full suffix array decides: a window whose run of rows with equal
-   prefixes of LENGTH bytes holds an earlier place is a repeat. Matching
-   statistics are not used here.
+   ends. The contexts are streamed through it: matching statistics, compared
+   byte by byte at the samples and carried on between them, give each window
+   its longest match and the place of it. Windows linked by matches of LENGTH
+   bytes are equal, and all but the first of them are repeats.
    Anchors with very many contexts are dealt over several indexes; the windows
    that are first in theirs then meet by window hash.
 4. The repeats of each document come together at its text and are cut out.
 
-Contexts and windows are compared by two 64-bit polynomial hashes of their
-bytes each, prefixes in the index too. Order is (doc_id, row of the input,
+Equal contexts are found by a 64-bit hash of their bytes beside that of their
+anchor, windows of different indexes by two 64-bit hashes; inside an index
+bytes are compared. Order is (doc_id, row of the input,
 start); a null doc_id comes first.
 
 Cases: null text is an empty text; repeated rows and ids are judged in the
@@ -193,7 +195,10 @@ class RunLengthIndex:
     """Run-compressed Burrows-Wheeler transform of texts, with sampled run ends.
 
     Each text is followed by an end mark of its own. ``starts`` are the texts'
-    places in the joined sequence.
+    places in the joined sequence. Only the runs, the places of their ends and
+    the texts are kept, not the suffix array. Within a run, the neighbour above
+    and the match with it move along as one goes to the left in a text, so both
+    follow for every place from the next sample to its right.
     """
 
     def __init__(self, texts: list[bytes]):
@@ -205,42 +210,22 @@ class RunLengthIndex:
         inside = np.ones(self.n, bool)
         inside[self.ends] = False
         data[inside] = np.frombuffer(b"".join(texts), np.uint8)
-        self.data, self.inside = data, inside
+        self.data = data
         symbol = data.astype(np.int64) + len(texts)
         symbol[self.ends] = np.arange(len(texts))  # end marks differ, in order
-        order, rank = self._suffixes(symbol, int(sizes.max(initial=0)) + 1)
-        before = np.where(order > 0, symbol[order - 1], -1)
-        marks = (before < len(texts))
-        before[marks] = -1
-        new = np.ones(self.n, bool)
-        new[1:] = before[1:] != before[:-1]
-        self.run_start = np.flatnonzero(new)
-        self.run_symbol = before[self.run_start]
-        run_size = np.diff(np.append(self.run_start, self.n))
-        self.sample_first, self.sample_last = order[self.run_start], order[self.run_start + run_size - 1]
-        by = np.argsort(self.run_symbol, kind="stable")
-        sizes_by = run_size[by]
-        ahead = np.cumsum(sizes_by) - sizes_by
-        self.lf = np.empty(len(by), np.int64)
-        self.lf[by] = ahead  # runs in order of symbol, then place: where their rows go
-        # rows of end marks and of texts' first bytes come first among all; shift for the marks' own rows
-        bins = np.bincount(symbol[inside] - len(texts), minlength=256)
-        below = np.cumsum(bins) - bins + len(texts)
-        first_of = {}
-        for s in np.unique(self.run_symbol[self.run_symbol >= 0]).tolist():
-            first_of[s] = int(below[s - len(texts)])
-        base = np.zeros(len(by), np.int64)
-        for s, row in first_of.items():
-            own = self.run_symbol == s
-            base[own] = row - self.lf[own].min()
-        self.lf += base
-        self.mark_row = rank[self.ends]
-        self.order = order
-        self.symbols = len(texts)
+        order = self._suffixes(symbol, int(sizes.max(initial=0)) + 1)
+        before = symbol[order - 1] if self.n else symbol
+        before[before < len(texts)] = -1  # a text begins here
+        head = np.ones(self.n, bool)
+        head[1:] = (before[1:] != before[:-1]) | (before[1:] < 0)
+        first = np.flatnonzero(head)
+        self.run_symbol = before[first]
+        self.run_size = np.diff(np.append(first, self.n))
+        self.sample_first, self.sample_last = order[first], order[first + self.run_size - 1]
 
     @staticmethod
-    def _suffixes(symbol: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix order and ranks by prefix doubling; end marks are unique, so ``longest`` symbols decide."""
+    def _suffixes(symbol: np.ndarray, longest: int) -> np.ndarray:
+        """Suffix order by prefix doubling; end marks are unique, so ``longest`` symbols decide."""
         n = len(symbol)
         rank = symbol
         step = 1
@@ -251,7 +236,7 @@ class RunLengthIndex:
                 key = np.zeros(n, np.int64)
                 for i in range(4):
                     key = key * wide
-                    key[: n - i] += symbol[i:] + 1
+                    key[: max(0, n - i)] += symbol[i:] + 1
                 rank, step = key, 4
         while True:
             order = np.argsort(rank, kind="stable")
@@ -260,76 +245,67 @@ class RunLengthIndex:
             dense = np.empty(n, np.int64)
             dense[order] = np.cumsum(new) - 1
             if step >= longest or (n and dense.max() == n - 1):
-                return order, dense
+                return order
             nxt = np.zeros(n, np.int64)
             nxt[: max(0, n - step)] = dense[step:] + 1
             rank = dense * (n + 1) + nxt
             step *= 2
 
-    def step(self, row: np.ndarray) -> np.ndarray:
-        """Rows of the suffixes one place to the left."""
-        run = np.searchsorted(self.run_start, row, side="right") - 1
-        return self.lf[run] + row - self.run_start[run]
-
-    def own_rows(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Stream all texts backwards at once: text numbers, places in the joined sequence, rows."""
-        text = np.arange(len(self.ends))
-        row, at = self.mark_row.copy(), self.ends.copy()
-        while True:
-            go = at > self.starts[text]
-            text, row, at = text[go], row[go], at[go] - 1
-            if not len(text):
-                return
-            row = self.step(row)
-            yield text, at, row
+    def common_size(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """How many bytes the texts share from places ``one`` and ``two`` on, by comparing them, eight at a time."""
+        pad = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        eight = np.lib.stride_tricks.sliding_window_view(pad, 8)[: self.n + 1]
+        most = np.minimum(self.left(one), self.left(two))
+        size = np.zeros(len(one), np.int64)
+        todo = np.flatnonzero(most > 0)
+        while len(todo):
+            at = size[todo]
+            differ = eight[one[todo] + at] != eight[two[todo] + at]
+            some = differ.any(1)
+            size[todo] = np.minimum(at + np.where(some, differ.argmax(1), 8), most[todo])
+            todo = todo[~some & (size[todo] < most[todo])]
+        return size
+
+    def left(self, place: np.ndarray) -> np.ndarray:
+        """Bytes of a place's text from there on."""
+        return self.ends[np.searchsorted(self.ends, place)] - place
+
+    def matching_statistics(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each text streamed through the index of all: for every place the neighbour above in suffix order, and the size of the match with it.
+
+        The longest match of a place with any other is the one with a neighbour.
+        A place one to the left of a run's first place has the sampled end of the
+        run that comes before in the order of symbols as its neighbour's right one;
+        all other places take over from the place to their right.
+        """
+        by = np.argsort(self.run_symbol, kind="stable")
+        real = np.flatnonzero(self.run_symbol[by] >= 0)  # the runs of text beginnings come before
+        inner = self.run_symbol[by[real - 1]] >= 0
+        place = np.concatenate([self.sample_first[by[real]] - 1, self.ends])
+        above = np.concatenate([np.where(inner, self.sample_last[by[real - 1]] - 1, self.ends[-1:]), np.append(-1, self.ends)[:-1]])
+        order = np.argsort(place, kind="stable")
+        place, above = place[order], above[order]
+        size = np.zeros(len(place), np.int64)
+        known = above >= 0
+        size[known] = self.common_size(place[known], above[known])
+        at = np.arange(self.n)
+        sample = np.searchsorted(place, at)
+        ahead = place[sample] - at
+        return above[sample] - ahead, size[sample] + ahead
 
     def first_places(self, length: int) -> np.ndarray:
-        """For each row the least place whose suffix shares ``length`` bytes with it (the own place without such bytes)."""
-        left = np.repeat(self.ends - self.starts + 1, self.ends - self.starts + 1) - (np.arange(self.n) - np.repeat(self.starts, self.ends - self.starts + 1)) - 1
-        whole = left[self.order] >= length
-        sums = RollingHash(BYTE_VALUES[self.data])
-        other = RollingHash(BYTE_VALUES[self.data], BASE2)
-        at = np.where(whole, self.order, 0)
-        stop = np.minimum(at + length, self.n)
-        one, two = sums.of(at, stop), other.of(at, stop)
-        new = np.ones(self.n, bool)
-        new[1:] = ~(whole[1:] & whole[:-1] & (one[1:] == one[:-1]) & (two[1:] == two[:-1]))
-        first = np.flatnonzero(new)
-        return np.repeat(np.minimum.reduceat(self.order, first), np.diff(np.append(first, self.n))) if self.n else self.order
-
-    def matching_statistics(self, pattern: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """For each place of the pattern the longest match in the texts from there, and a place of it (-1: none)."""
-        size, where = np.zeros(len(pattern), np.int64), np.full(len(pattern), -1, np.int64)
-        row, place, length = 0, int(self.order[0]) if self.n else 0, 0
-
-        def common_size(at: int, i: int, most: int) -> int:
-            k = 0
-            while k < most and at + k < self.n and self.inside[at + k] and self.data[at + k] == pattern[i + k]:
-                k += 1
-            return k
-
-        for i in range(len(pattern) - 1, -1, -1):
-            symbol = pattern[i] + self.symbols
-            run = int(np.searchsorted(self.run_start, row, side="right")) - 1
-            if self.run_symbol[run] != symbol:
-                own = np.flatnonzero(self.run_symbol == symbol)
-                if not len(own):
-                    row, place, length = 0, int(self.order[0]), 0
-                    continue
-                k = int(np.searchsorted(own, run))
-                options = []
-                if k > 0:  # the end of the run before, by its sample
-                    r = int(own[k - 1])
-                    end = int(self.run_start[r + 1]) - 1
-                    options.append((common_size(int(self.sample_last[r]), i + 1, length), end, int(self.sample_last[r]), r))
-                if k < len(own):
-                    r = int(own[k])
-                    options.append((common_size(int(self.sample_first[r]), i + 1, length), int(self.run_start[r]), int(self.sample_first[r]), r))
-                length, row, place, run = max(options)
-            row = int(self.lf[run]) + row - int(self.run_start[run])
-            place, length = place - 1, length + 1
-            size[i], where[i] = length, place
-        return size, where
+        """For each place the least place that shares ``length`` bytes with it (itself, if no other does)."""
+        up, size = self.matching_statistics()
+        at = np.arange(self.n)
+        top = np.where(size >= length, up, at)
+        while True:  # to the top of the rows that share so many bytes
+            higher = top[top]
+            if (higher == top).all():
+                break
+            top = higher
+        least = at.copy()
+        np.minimum.at(least, top, at)
+        return least[top]
 
 
 def index_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,11 +315,11 @@ def index_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         parts, uid, dk, lo, hi = (np.concatenate(x) for x in zip(*group, strict=True))
         index = RunLengthIndex(data)
         least = index.first_places(LENGTH)
-        text, at, row = (np.concatenate(x) for x in zip(*index.own_rows(), strict=True))
-        place = at - index.starts[text]
-        window = place <= (hi - lo)[text]
-        text, at, row, place = text[window], at[window], row[window], place[window]
-        again = least[row] < at
+        windows = hi - lo + 1
+        text = np.repeat(np.arange(len(data)), windows)
+        place = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
+        at = index.starts[text] + place
+        again = least[at] < at
         start = lo[text] + place
         yield repeats(uid[text[again]], start[again], start[again])
         split = ~again & (parts[text] > 1)

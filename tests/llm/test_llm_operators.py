@@ -272,19 +272,28 @@ def test_suffix_dedup(docs, hot, monkeypatch):
     assert all(sum(s["end"] - s["begin"] for s in r["spans"]) == r["n_removed"] for r in got.collect())
 
 
-def test_run_length_index():
+@pytest.mark.parametrize("letters", ["ab", "a", "ab\0c", "abcdefghijklmnop"])
+def test_run_length_index(letters):
     r = random.Random(1)
-    texts = [bytes(r.choice(b"ab") for _ in range(r.randint(0, 60))) for _ in range(40)]
+    texts = [bytes(r.choice(letters.encode()) for _ in range(r.randint(0, 60))) for _ in range(40)]
+    texts += [texts[3], texts[5] + texts[6], b"", texts[7][3:]]
     index = suffix_dedup.RunLengthIndex(texts)
-    for _, at, row in index.own_rows():
-        assert (index.order[row] == at).all()
-    pattern = bytes(r.choice(b"abc") for _ in range(80))
-    size, where = index.matching_statistics(pattern)
-    for i in range(80):
-        best = max((n for n in range(81 - i) if any(pattern[i : i + n] in t for t in texts)), default=0)
-        assert size[i] == best
-        if best:
-            assert bytes(index.data[where[i] : where[i] + best]) == pattern[i : i + best]
+    places = [(i, k) for i, t in enumerate(texts) for k in range(len(t))]
+    rest = {(i, k): texts[i][k:] for i, k in places}
+    share = lambda x, y: next((n for n, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+    ordered = sorted(places, key=lambda p: (*((c + 1) * 100 for c in rest[p]), p[0]))  # end marks come before letters, in the order of texts
+    up, size = index.matching_statistics()
+    where = {p: int(index.starts[p[0]]) + p[1] for p in places}
+    back = {v: k for k, v in where.items()}
+    for above, p in zip(ordered, ordered[1:], strict=False):
+        assert size[where[p]] == share(rest[above], rest[p])
+        if size[where[p]]:
+            assert back[int(up[where[p]])] == above
+    for length in (1, 5, 20):
+        least = index.first_places(length)
+        for p in places:
+            equal = [where[q] for q in places if len(rest[p]) >= length and rest[q][:length] == rest[p][:length]]
+            assert least[where[p]] == min(equal, default=where[p])
 
 
 def test_spans(docs, rows):
