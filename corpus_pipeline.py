@@ -1,4 +1,10 @@
-"""A training-data pipeline over ``documents``: each stage's result is written as Parquet and read by the next."""
+"""A training-data pipeline over ``documents``: each stage's result is written as Parquet and read by the next.
+
+Cases, as each operator's module says: null and empty texts fail the quality
+rules; in the later stages they are empty texts, one of which stays; repeated
+rows are copies; null ids come first; an empty table passes through empty;
+columns of any further name are carried to the last stage.
+"""
 
 from __future__ import annotations
 

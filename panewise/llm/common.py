@@ -9,6 +9,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import itertools
+import re
 import tempfile
 import uuid
 import zlib
@@ -26,11 +27,13 @@ ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where it is unset (tests)."""
+    """The shared folder of the session; a temporary one only where it is unset and all runs on this machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("panewise.scratch.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="panewise-")
         spark.conf.set("panewise.scratch.dir", root)
     return root

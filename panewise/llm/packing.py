@@ -15,8 +15,9 @@ running sum over all pieces in sending order instead of a sum over all queues
 for each piece; the ids are shuffled then.
 
 Cases: null text is an empty text (only the end id); null and empty sources
-share a queue; repeated ids and rows are packed as they come; an empty table
-gives no pieces; further columns are ignored.
+share a queue; repeated ids and rows are packed as they come; a very long text
+is encoded whole (some 60 bytes of memory for each byte) and cut into pieces;
+an empty table gives no pieces; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,8 +11,10 @@ their id), gives a logit, and a temperature fitted on a part of those rows
 that training did not see gives the probability.
 
 Cases: null and empty texts pool to zeros and get that score; null labels are
-not learned from; every row is scored as it comes; without labelled rows of
-both kinds every score is the share of label 1 (0.5 without labels).
+not learned from; of labelled documents with one id one text is learned from;
+every row is scored as it comes; a very long text is pooled part by part (some
+20 bytes of memory for each byte); without labelled rows of both kinds every
+score is the share of label 1 (0.5 without labels).
 """
 
 from __future__ import annotations

@@ -13,8 +13,9 @@ come from alternating large-star and small-star steps.
 
 Cases: null and empty texts have fingerprint zero and link like others; null
 ids stay null and count as larger than any in a component; repeated rows and
-ids get one row each; an empty table gives no rows; further columns are
-ignored or carried.
+ids get one row each; a very long text is hashed whole (some 30 bytes of memory
+for each byte); an empty table gives no rows; further columns are ignored or
+carried.
 """
 
 from __future__ import annotations

@@ -5,8 +5,10 @@ A shard file holds the ids of a run of documents as succinct bit planes
 token access, counting and occurrence lookup without decoding the rest.
 
 Cases: null text is an empty text (its document holds only the end id); a
-null doc_id sorts first; equal doc_ids sort by their ids; an empty table gives
-no shards; further columns are ignored whatever their names.
+null doc_id sorts first; equal doc_ids sort by their ids; a very long text is
+encoded whole (some 60 bytes of memory for each byte) and gets a shard of its
+own; an empty table gives no shards; further columns are ignored whatever
+their names.
 """
 
 from __future__ import annotations
@@ -172,7 +174,7 @@ def encoded(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str,
         for batch in batches:
             for b in common.slices(batch, limit=16 << 20):
                 flat, off = wordbpe.append_end(*enc.encode(common.texts(b)), end_id)
-                ids = b.column("doc_id").to_pandas().to_numpy(np.float64, na_value=-np.inf) if b.column("doc_id").null_count else b.column("doc_id").to_numpy()
+                ids = b.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)  # nulls come first
                 part = np.searchsorted(cuts, ids, side="right").astype(np.int32)
                 data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer((off * 4).astype(np.int64)), pa.py_buffer(flat.astype("<u4"))])
                 yield pa.RecordBatch.from_arrays([pa.array(part), b.column("doc_id"), data.cast(pa.binary())], ["part", "doc_id", "ids"])

@@ -8,13 +8,16 @@ score.
 
 The lexicon, the exceptions and the logistic are learned from at most
 ``MAX_SAMPLE`` labelled rows outside the held-out fold, the first by a hash of
-their id. Words are counted by distinct shingle signatures, so a group of
-copies counts about once.
+their id; of documents with one id one text is read. The best ``max_entries``
+entries and as many exceptions make the lexicon (a parameter of ``learn``, so
+that the model has a bounded size). Of texts of one label whose shingle sets
+are similar, found by an equal signature and then compared, the first counts.
 
 Cases: null and empty texts have no hits and get the score of such texts; null
 labels are not learned from; repeated labels of a document count as toxic if
 any is; every document row is scored as it comes; without labelled rows of
-both kinds every score is the share of toxic labels (0 without labels).
+both kinds every score is the share of toxic labels (0 without labels); a very long
+text is folded and searched whole (some 15 bytes of memory for each byte).
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ from . import common
 
 MAX_SAMPLE = 10_000
 MAX_LEXICON = 500
+SIMILARITY = 0.8  # of texts that count once
 MIN_SHARE = 0.02  # of the toxic texts that a lexicon entry must be in
 MIN_TEXTS = 5.0  # and at least so many
 MIN_PRECISION = 0.8  # from which on an entry is strong
@@ -145,24 +149,29 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
     return w
 
 
-def signature(words: list[str]) -> int:
-    """The least hash of a text's five-word shingles (or of all its words): equal for most near copies."""
+def shingles(words: list[str]) -> set[int]:
+    """Hashes of a text's five-word shingles (or of all its words)."""
     import xxhash
 
-    n = max(1, len(words) - 4)
-    return min(xxhash.xxh64_intdigest(" ".join(words[i : i + 5])) for i in range(n)) >> 1
+    return {xxhash.xxh64_intdigest(" ".join(words[i : i + 5])) >> 1 for i in range(max(1, len(words) - 4))}
+
+
+def signature(words: list[str]) -> int:
+    """The least hash of a text's shingles: equal for most near copies."""
+    return min(shingles(words))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """label and text of at most ``limit`` labelled rows outside the held-out fold."""
+    """label and text of at most ``limit`` labelled documents outside the held-out fold, one row for each id."""
     known = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & F.col("__id").isNotNull() & (common.crc_fold(F.col("__id")) != 0))
     bounded = known.groupBy("__id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("__id"), "__id").limit(limit)
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(bounded), "__id").select("label", "text")
+    found = texts.join(F.broadcast(bounded), "__id").groupBy("__id").agg(F.max("label").alias("label"), F.min(F.struct(F.xxhash64("text"), "text")).alias("t"))
+    return found.select("label", "t.text")
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_SAMPLE, exceptions: list[str] | None = None) -> Lexicon:
-    """Learn lexicon, exceptions and logistic from labelled documents."""
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_SAMPLE, exceptions: list[str] | None = None, max_entries: int = MAX_LEXICON) -> Lexicon:
+    """Learn lexicon, exceptions and logistic from at most ``limit`` labelled documents: at most ``max_entries`` entries, the best, and learned exceptions."""
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "toxicity")
 
@@ -177,16 +186,18 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = scratch.save(labelled(docs, labels, "toxic", limit, id_col, text_col).mapInArrow(common.tidy(prepare), "label int, sign long, text string").repartition(tasks, "sign"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts and occurrences by entry and label; of texts with one signature and label only the first counts."""
-        seen: set[tuple[int, int]] = set()
+        """Texts and occurrences by entry and label; of similar texts with one label only the first counts."""
+        seen: dict[tuple[int, int], list[set[int]]] = {}
         texts: Counter = Counter()
         times: Counter = Counter()
         for b in batches:
             for label, sign, text in zip(b.column("label").to_pylist(), b.column("sign").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if (label, sign) in seen:
+                words = _WORD.findall(text)
+                parts, known = shingles(words), seen.setdefault((label, sign), [])
+                if any(len(parts & x) >= SIMILARITY * len(parts | x) for x in known):
                     continue
-                seen.add((label, sign))
-                own = Counter(_WORD.findall(text))
+                known.append(parts)
+                own = Counter(words)
                 for w, n in list(own.items()):
                     for k in range(4, min(8, len(w))):
                         own[w[:k] + "*"] += n
@@ -209,7 +220,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     weight = F.log(((F.col("times1") + 0.5) / rate1) / ((F.col("times0") + 0.5) / rate0))
     strong = F.col("texts1") >= MIN_PRECISION * (F.col("texts1") + F.col("texts0"))
     found = sums.where((F.col("entry") != "") & (F.col("texts1") >= max(MIN_TEXTS, MIN_SHARE * bad))).select("entry", weight.alias("weight"), strong.alias("strong"), "texts1").where(weight >= MIN_WEIGHT)
-    best = found.orderBy(F.desc("strong"), F.desc(F.col("weight") * F.col("texts1")), F.length("entry"), "entry").limit(MAX_LEXICON).collect()
+    best = found.orderBy(F.desc("strong"), F.desc(F.col("weight") * F.col("texts1")), F.length("entry"), "entry").limit(max_entries).collect()
     entries: dict[str, Entry] = {}
     for r in sorted(best, key=lambda r: (len(r["entry"].rstrip("*")), r["entry"])):  # short stems first; what they cover about as well is left out
         key = r["entry"].rstrip("*")
@@ -233,7 +244,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     clean = F.count_distinct(F.when(F.col("label") == 0, F.col("sign")))
     usual = sample.mapInArrow(common.tidy(phrases), "entry string, label int, sign long").groupBy("entry").agg(clean.alias("c0"), F.max("label").alias("worst"))
-    lexicon.exceptions = [r["entry"] for r in usual.where("c0 >= 3 and worst = 0").orderBy(F.desc("c0"), "entry").limit(MAX_LEXICON).collect()] + [fold(p) for p in exceptions or []]
+    lexicon.exceptions = [r["entry"] for r in usual.where("c0 >= 3 and worst = 0").orderBy(F.desc("c0"), "entry").limit(max_entries).collect()] + [fold(p) for p in exceptions or []]
     rows = apply_lexicon(sample, lexicon, ["label"], folded=True).select("label", "strong_hits", "weak_hits", "n_words").toPandas()  # four numbers for each sampled row
     x = features(*(rows[c].to_numpy(float) for c in ("strong_hits", "weak_hits", "n_words")))
     lexicon.coef = tuple(fit_logistic(x, rows["label"].to_numpy(float)).tolist())
@@ -248,7 +259,7 @@ def apply_lexicon(docs: DataFrame, lexicon: Lexicon, carry: list[str], text_col:
     carry = [c for c in carry if c not in made]
     kept = [F.col(f"`{c}`") for c in carry]
     data = docs.select(F.struct(*kept).alias("carried"), F.col(f"`{text_col}`").alias("text"))
-    model = docs.sparkSession.sparkContext.broadcast(lexicon)  # MAX_LEXICON entries at most
+    model = docs.sparkSession.sparkContext.broadcast(lexicon)  # of a bounded number of entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = model.value.automaton()

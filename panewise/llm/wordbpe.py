@@ -63,10 +63,13 @@ class WordEncoder:
             part = simple[i : i + 4096]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
             ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) != len(part):
-                raise AssertionError("a plain word must close exactly once")
-            counts[at[i : i + 4096]] = np.diff(ends, prepend=0)
-            flat.append(ids)
+            if len(ends) == len(part):
+                counts[at[i : i + 4096]] = np.diff(ends, prepend=0)
+                flat.append(ids)
+                continue
+            for k, e in zip(at[i : i + 4096].tolist(), self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                counts[k] = len(e.ids)
+                flat.append(np.array(e.ids, np.uint32))
         order.append(at)
         rest = np.flatnonzero(~plain)
         for k, e in zip(rest.tolist(), self.tokenizer.encode_batch_fast(words.take(pa.array(rest)).to_pylist(), add_special_tokens=False), strict=True):
