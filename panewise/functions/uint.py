@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAX_WIDTH = 63
+HASH_SEED = 2654435769
+HASH_FACTOR = 1540483477  # under 2^31, so that no product passes 2^63
 
 
 def full(width: int) -> int:
@@ -65,6 +67,7 @@ def bit_slice(a: Column, lo: int, hi: int) -> Column:
 
 
 def concat(a: Column, b: Column, b_width: int) -> Column:
+    """The bits of a before those of b; results over 63 bits are refused where a program is checked."""
     return F.shiftleft(a, b_width).bitwiseOR(b)
 
 
@@ -102,6 +105,17 @@ def in_prefixes(address: Column, prefixes: list[str]) -> Column:
     return hit
 
 
+def hash32(seed: int, *keys: Column) -> Column:
+    """A seeded 32-bit hash of integers (a null counts as 0): multiply and shift, in generated code, never over 63 bits."""
+    h = long((seed * HASH_SEED + 1) & full(32))
+    for k in keys:
+        k = F.coalesce(k.cast("long"), long(0))
+        for part in (mask(k, 32), F.shiftrightunsigned(k, 32)):
+            h = mask(h.bitwiseXOR(part) * long(HASH_FACTOR), 32)
+            h = h.bitwiseXOR(F.shiftrightunsigned(h, 15))
+    return h
+
+
 def slot(seed: int, bits: int, *keys: Column) -> Column:
-    """A seeded hash of keys into 2^bits slots."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), long(1 << bits))
+    """A seeded hash of keys into 2^bits slots (32 bits at most)."""
+    return F.shiftrightunsigned(hash32(seed, *keys), 32 - bits)

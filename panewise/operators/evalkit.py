@@ -38,12 +38,21 @@ def ground_truth(events: DataFrame, insert: Column, keys: list[str], ts: str, se
 
 
 def anti_join_shifted(queries: DataFrame, inserts: DataFrame, keys: list[str], bin_col: str, first: int, last: int) -> DataFrame:
-    """Queries without an insert of an equal key ``first`` .. ``last`` bins before, by one equi join.
+    """Queries without an insert of an equal key ``first`` .. ``last`` bins before, by one window over both.
 
-    Inserts are exploded to the bins that they reach; the join is on keys and bin.
+    Rows meet by keys and a pane of ``last`` bins; each distinct insert also goes to the next pane. A null key equals none.
     """
-    reach = inserts.select(*keys, F.explode(F.sequence(F.col(bin_col) + first, F.col(bin_col) + last)).alias(bin_col)).distinct()
-    return queries.join(reach, [*keys, bin_col], "left_anti")
+    from pyspark.sql import Window
+
+    pane = F.floor(F.col(bin_col) / last)
+    added = inserts.select(*keys, bin_col).distinct().withColumn("__pane", F.explode(F.array(pane, pane + 1))).withColumn("__add", F.lit(1))
+    asked = queries.withColumns({"__pane": pane, "__add": F.lit(0)})
+    frame = Window.partitionBy(*keys, "__pane").orderBy(bin_col).rangeBetween(-last, -first)
+    both = asked.unionByName(added, allowMissingColumns=True).withColumn("__hit", F.coalesce(F.max("__add").over(frame), F.lit(0)))
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    return both.where((F.col("__add") == 0) & ((F.col("__hit") == 0) | ~whole)).select(*queries.columns)
 
 
 def left_join_fill(left: DataFrame, right: DataFrame, on: list[str], fill: dict[str, object]) -> DataFrame:

@@ -1,7 +1,8 @@
 """Ordered folds by key.
 
-Common shapes become window functions: a counter, the first value, the last
-value, and a count of falls against the value before. Other folds scan each
+Common shapes become window functions (but for ``since``): a counter, the
+first value, the last value, and a count of falls against the value before.
+Other folds scan each
 part once in order, row by row, in Arrow batches; a part is a key and a pane
 of time, but for ``since``, which each key anchors at its own first add.
 
@@ -20,7 +21,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.uint import long, mask
 from ..plans import windows as w
-from ..plans.expr import Bin, Cond, Expr, Num, Var, evaluate, to_column
+from ..plans.expr import Bin, Cond, Expr, Num, Var, evaluate, to_column, width_of
 from ..plans.program import Fold
 from . import sets
 from .sets import GHOST, INSQUERY, OP, PANE, adds, finish, frame, paned, parts, ticks
@@ -52,13 +53,22 @@ def shape(fold: Fold) -> tuple | None:
 def native(df: DataFrame, keys: list[str], fold: Fold, window: w.Window, ts: str, seq: str, result: str, old: Column, tick: int, column, widths) -> DataFrame | None:
     """The fold as window functions, if its shape and window allow."""
     window, found = w.normal(window), shape(fold)
-    if found is None or not isinstance(window, w.Within):
+    if found is None or isinstance(window, w.Since):
         return None
-    columns, lo = df.columns, ticks(window.lo, tick)
-    rows = paned(df.withColumn("__in", to_column(found[-1], column, widths) if found[0] != "counter" else long(0)), ts, seq, F.floor(F.col(ts) / lo), ghosts=True)
+    if found[0] == "falls" and not isinstance(found[3], Var) and (width_of(found[3], widths) or 32) > 32:
+        return None  # a state holds 32 bits of it, the comparison all
+    cut = lambda name: mask(column(name).cast("long"), 32)  # noqa: E731  inputs and states have 32 bits
+    value_of = lambda e: mask(to_column(e, cut, widths).cast("long"), 32)
+    columns, lo = df.columns, ticks(window.lo if isinstance(window, w.Within) else window.t, tick)
+    rows = paned(df.withColumn("__in", value_of(found[-1]) if found[0] != "counter" else long(0)), ts, seq, F.floor(F.col(ts) / lo), ghosts=True)
     if found[0] == "last":
-        rows = rows.withColumn("__first", to_column(found[1], column, widths))
+        rows = rows.withColumn("__first", value_of(found[1]))
     part = parts(keys)
+    if isinstance(window, w.Last):
+        if found[0] == "falls":
+            before = F.last(F.when(adds(), F.col("__in")), ignorenulls=True).over(frame(keys, ts, seq))
+            rows = rows.withColumn("__fall", F.when(adds() & (before > F.col("__in")), 1).otherwise(0))
+        return finish(rows, result, two_panes(found, keys, ts, seq), old, columns)
     added, mine = adds().cast("long"), F.col(OP) == INSQUERY
     upto = Window.partitionBy(*part).orderBy(ts, seq).rowsBetween(Window.unboundedPreceding, 0)
     old_rows = Window.partitionBy(*part).orderBy(ts).rangeBetween(Window.unboundedPreceding, -(lo + 1))
@@ -89,6 +99,27 @@ def native(df: DataFrame, keys: list[str], fold: Fold, window: w.Window, ts: str
     return finish(rows, result, F.when(size > 0, value).otherwise(0), old, columns)
 
 
+def two_panes(found: tuple, keys: list[str], ts: str, seq: str) -> Column:
+    """A fold over the pane before (whose adds came as ghosts) and this one up to now; without an add in the pane before it is 0."""
+    part = Window.partitionBy(*parts(keys)).orderBy(ts, seq)
+    upto, before = part.rowsBetween(Window.unboundedPreceding, 0), frame(keys, ts, seq)
+    mine, added = F.col(OP) == INSQUERY, adds().cast("long")
+    size = F.coalesce(F.sum(added).over(before), long(0)) + F.when(mine, 1).otherwise(0)
+    of = lambda c: F.when(adds(), c)
+    if found[0] == "counter":
+        value = mask(long(found[1]) + (size - 1) * found[2], 32)
+    elif found[0] == "first":
+        value = F.first(of(F.col("__in")), ignorenulls=True).over(upto)
+    elif found[0] == "last":
+        both = F.struct(F.col("__in").alias("u"), F.col("__first").alias("i"))
+        kept = F.when(mine, both).otherwise(F.last(of(both), ignorenulls=True).over(before))
+        value = F.when(size == 1, kept["i"]).otherwise(kept["u"])
+    else:
+        fallen = F.coalesce(F.sum("__fall").over(before), long(0)) + F.when(mine, F.col("__fall")).otherwise(0)
+        value = mask(long(found[1]) + fallen * found[2], 32)
+    return F.when((size > 0) & (F.max(F.col(GHOST).cast("int")).over(upto) == 1), value).otherwise(0)
+
+
 def scan(df: DataFrame, keys: list[str], fold: Fold, window: w.Window, ts: str, seq: str, result: str, old: Column, tick: int, column, widths) -> DataFrame:
     """Any fold, by one ordered pass over each part."""
     window, columns = w.normal(window), df.columns

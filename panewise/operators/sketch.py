@@ -13,8 +13,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.uint import long, slot
+from ..functions.uint import hash32, long, mask, slot
 from ..plans import windows as w
+from ..plans.expr import to_column
+from ..plans.program import Fold
+from . import folds
 
 #: Distinct keys in a minute where no statistics are given.
 DEFAULT_KEYS = (60_000_000_000, 57060.0)
@@ -95,15 +98,46 @@ def look_up(queries: DataFrame, sketch: DataFrame, keys: list[str], ts: str, pan
 
 def owners(adds: DataFrame, keys: list[str], ts: str, seq: str, pane_ticks: int, rows: int, bits: int) -> DataFrame:
     """Fold table: the first key of each (pane, row, slot) owns it; a key's row comes from its hash."""
-    row = F.pmod(F.xxhash64(F.lit(0), *map(F.col, keys)), long(rows))
+    row = F.pmod(hash32(0, *map(F.col, keys)), long(rows))
     placed = adds.select(pane_column(ts, pane_ticks).alias("pane"), row.alias("row"), slot(1, bits, *map(F.col, keys)).alias("slot"), F.struct(F.col(ts).alias("t"), F.col(seq).alias("q"), *(F.col(k).alias(k) for k in keys)).alias("k"))
     return placed.groupBy("pane", "row", "slot").agg(F.min("k").alias("owner")).select("pane", "row", "slot", *(F.col(f"owner.{k}").alias(k) for k in keys))
 
 
-def owned_counts(adds: DataFrame, keys: list[str], ts: str, seq: str, pane_ticks: int, rows: int, bits: int) -> DataFrame:
-    """Adds of the keys that own their slot, by pane."""
+def fold_table(adds: DataFrame, keys: list[str], spec: Fold, ts: str, seq: str, pane_ticks: int, rows: int, bits: int, result: str) -> DataFrame:
+    """pane, keys, state of the fold: a table of cells, each with one owner a pane.
+
+    A pane finds all cells expired. The first add of an expired cell sets its
+    key and ``init``; adds of that key are ``update``; adds of other keys are
+    ignored while the cell lives. Counters, first and last values are summed up
+    before the shuffle; other shapes need an order of all adds and are refused.
+    """
+    found = folds.shape(spec)
+    if found is None or found[0] == "falls":
+        raise ValueError("a fold table takes counters, first and last values")
+    cut = lambda name: mask(F.col(f"`{name}`").cast("long"), 32)
+    value = lambda e: mask(to_column(e, cut, lambda n: 32).cast("long"), 32)
+    when = F.struct(F.col(ts).alias("t"), F.col(seq).alias("q"))
+    n = F.count("*")
+    match found:
+        case ("counter", init, step):
+            state = mask(long(init) + (n - 1) * step, 32)
+        case ("first", init):
+            state = F.min_by(value(init), when)
+        case ("last", init, update):
+            state = F.when(n == 1, F.min_by(value(init), when)).otherwise(F.max_by(value(update), when))
     own = owners(adds, keys, ts, seq, pane_ticks, rows, bits)
-    return adds.withColumn("pane", pane_column(ts, pane_ticks)).groupBy("pane", *keys).agg(F.count("*").alias("n")).join(own.select("pane", *keys), ["pane", *keys], "left_semi")
+    return adds.withColumn("pane", pane_column(ts, pane_ticks)).groupBy("pane", *keys).agg(state.alias(result)).join(own.select("pane", *keys), ["pane", *keys], "left_semi")
 
 
-__all__ = ["Window", "bloom_fpr", "cells", "choose", "cms_error", "fold_table_error", "look_up", "owned_counts", "owners"]
+def statistics(adds: DataFrame, keys: list[str], ts: str, pane_ticks: int) -> DataFrame:
+    """pane, distinct_keys: the workload that sizes are chosen for."""
+    return adds.groupBy(pane_column(ts, pane_ticks).alias("pane")).agg(F.count_distinct(*map(F.col, keys)).alias("distinct_keys"))
+
+
+def measured(adds: DataFrame, keys: list[str], ts: str, pane_ticks: int, tick: int) -> tuple[int, float]:
+    """Statistics as ``choose`` takes them: the length of a pane in ns, and the mean of distinct keys in it."""
+    mean = statistics(adds, keys, ts, pane_ticks).agg(F.avg("distinct_keys")).first()[0]  # one number
+    return pane_ticks * tick, float(mean or 0)
+
+
+__all__ = ["Window", "bloom_fpr", "cells", "choose", "cms_error", "fold_table", "fold_table_error", "look_up", "measured", "owners", "statistics"]

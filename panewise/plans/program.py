@@ -6,7 +6,7 @@ import dataclasses
 
 from ..functions.patterns import Wild
 from . import windows
-from .expr import Expr, Num, Var
+from .expr import Bin, Cond, Expr, Num, Un, Var
 
 APIS = ("add", "query", "add_query")
 CLASSES = {"ExistSet": "Exist", "CountSet": "Count", "FoldSet": "Fold"}
@@ -127,6 +127,56 @@ class Program:
         return self
 
 
+def comparisons(e: Expr) -> list[Bin]:
+    """The comparisons of a predicate."""
+    match e:
+        case Bin("&&" | "||", a, b):
+            return comparisons(a) + comparisons(b)
+        case Un("!", a):
+            return comparisons(a)
+        case Bin("==" | "!=" | "<" | ">" | "<=" | ">=", _, _):
+            return [e]
+    raise ProgramError(f"{e} is no predicate")
+
+
+def linear(e: Expr) -> bool:
+    """A sum or difference of variables and literals."""
+    match e:
+        case Num() | Var():
+            return True
+        case Bin("+" | "-", a, b):
+            return linear(a) and linear(b)
+    return False
+
+
+def strict_fold(d: SetDecl) -> None:
+    """What one stateful unit of the hardware can do: two state fields, two inputs, two linear comparisons, and conditionals only around whole expressions with one state field and one input each."""
+    if len(d.fold.fields) > 2:
+        raise ProgramError(f"{d.name}: at most two state fields")
+    inputs, tests = set(), set()
+    for e in (*d.fold.init, *d.fold.update):
+        leaves = [e]
+        if isinstance(e, Cond):
+            leaves = [e.a, e.b]
+            for c in comparisons(e.test):
+                tests.add(c)
+                if not (linear(c.a) and linear(c.b)):
+                    raise ProgramError(f"{d.name}: {c} is not linear")
+        inputs |= {n for n in e.names() if not n.startswith("s.")}
+        for leaf in leaves:
+            if holds_condition(leaf):
+                raise ProgramError(f"{d.name}: a conditional inside an expression")
+            names = set(leaf.names())
+            if sum(n.startswith("s.") for n in names) > 1 or sum(not n.startswith("s.") for n in names) > 1:
+                raise ProgramError(f"{d.name}: {leaf} has more than one state field or input")
+    if len(tests) > 2 or len(inputs) > 2:
+        raise ProgramError(f"{d.name}: at most two comparisons and two inputs")
+
+
+def holds_condition(e: Expr) -> bool:
+    return isinstance(e, Cond) or any(holds_condition(x) for x in vars(e).values() if isinstance(x, Expr))
+
+
 def analyze(program: Program, strict: bool = False) -> Program:
     """Check the rules; with ``strict`` also those that only hardware needs."""
     locals_, used = set(), set()
@@ -141,8 +191,8 @@ def analyze(program: Program, strict: bool = False) -> Program:
         if d.fold:
             if len(d.fold.init) != len(d.fold.update) or not 0 <= d.fold.index < len(d.fold.fields):
                 raise ProgramError(f"{d.name}: bad fold")
-            if strict and len(d.fold.fields) > 2:
-                raise ProgramError(f"{d.name}: at most two state fields")
+            if strict:
+                strict_fold(d)
             if any(n.startswith("s.") for e in d.fold.init for n in e.names()):
                 raise ProgramError(f"{d.name}: init has no state")
             for e in d.fold.update:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +12,11 @@ from pyspark.sql import functions as F
 from .functions import uint
 from .functions.patterns import Bits, Eq, Range, Wild
 from .operators import evalkit, sketch
-from .plans import lower
+from .plans import lower, parse
 from .plans import windows as w
 from .plans.program import Program
+from .sources import packets
+from .streaming import lower as streaming
 
 HOUR = w.NS["hour"]
 TICK = 1000  # event times are in microseconds
@@ -455,28 +459,66 @@ def sketch_parts(spark, sf_dir):
     return adds, asks, asks.join(exact, "event_id", "left").withColumn("truth", F.coalesce("truth", F.lit(0)))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS violations")
+def hash_sql(key: str, seed: int) -> str:
+    """SQL of uint.hash32."""
+    h = str((seed * uint.HASH_SEED + 1) & TOP)
+    for part in (f"({key} & {TOP})", f"({key} >> 32)"):
+        h = f"((xor({h}, {part}) * {uint.HASH_FACTOR}) & {TOP})"
+        h = f"xor({h}, ({h} >> 15))"
+    return h
+
+
+def slot_sql(key: str, seed: int, bits: int) -> str:
+    return f"(({hash_sql(key, seed)}) >> {32 - bits})"
+
+
+def sketch_sql(rows: int, bits: int, select: str) -> str:
+    """Places, cells and whole panes in SQL, beside the truth."""
+    placed = " UNION ALL ".join(f"SELECT event_id, kind, ts // {PANE} AS p, {r} AS r, {slot_sql('user_id', r + 1, bits)} AS slot FROM e" for r in range(rows))
+    return f"""WITH {E}, placed AS ({placed}),
+cells AS (SELECT p, r, slot, count(*) AS n FROM placed WHERE kind = 0 GROUP BY ALL),
+hit AS (SELECT a.event_id, c.p, min(c.n) AS n FROM placed a JOIN cells c ON a.kind = 1 AND c.r = a.r AND c.slot = a.slot AND c.p BETWEEN a.p - 2 AND a.p GROUP BY ALL HAVING count(*) = {rows}),
+ans AS (SELECT event_id, sum(n) AS n FROM hit GROUP BY 1),
+truth AS (SELECT q.event_id, count(i.event_id) AS truth FROM e q LEFT JOIN e i ON i.kind = 0 AND i.user_id = q.user_id AND i.ts // {PANE} BETWEEN q.ts // {PANE} - 2 AND q.ts // {PANE} WHERE q.kind = 1 GROUP BY 1)
+SELECT event_id, {select} FROM truth LEFT JOIN ans USING (event_id)"""
+
+
+@query(sketch_sql(3, 5, "CAST(truth > 0 AS BIGINT) AS truth, CAST(n IS NOT NULL AS BIGINT) AS r"))
 def bloom_exist_superset(spark, sf_dir):
     adds, _asks, exact = sketch_parts(spark, sf_dir)
-    cells = sketch.cells(adds, ["user_id"], "ts", PANE, 3, 8)
-    found = sketch.look_up(exact, cells, ["user_id"], "ts", PANE, 3, 3, 8, "event_id", "r", counts=False)
-    return found.agg(F.count_if((F.col("truth") > 0) & (F.col("r") == 0)).alias("violations"))
+    cells = sketch.cells(adds, ["user_id"], "ts", PANE, 3, 5)
+    found = sketch.look_up(exact, cells, ["user_id"], "ts", PANE, 3, 3, 5, "event_id", "r", counts=False)
+    return found.select("event_id", (F.col("truth") > 0).cast("long").alias("truth"), "r")
 
 
-@query("SELECT CAST(0 AS BIGINT) AS violations")
+@query(sketch_sql(2, 5, "truth, CAST(coalesce(n, 0) AS BIGINT) AS r"))
 def cms_count_upper(spark, sf_dir):
     adds, _asks, exact = sketch_parts(spark, sf_dir)
-    cells = sketch.cells(adds, ["user_id"], "ts", PANE, 4, 6)
-    found = sketch.look_up(exact, cells, ["user_id"], "ts", PANE, 3, 4, 6, "event_id", "r", counts=True)
-    return found.agg(F.count_if(F.col("r") < F.col("truth")).alias("violations"))
+    cells = sketch.cells(adds, ["user_id"], "ts", PANE, 2, 5)
+    found = sketch.look_up(exact, cells, ["user_id"], "ts", PANE, 3, 2, 5, "event_id", "r", counts=True)
+    return found.select("event_id", F.col("truth").cast("long").alias("truth"), "r")
 
 
-@query("SELECT CAST(0 AS BIGINT) AS violations")
+@query(
+    f"""WITH {E}, placed AS (SELECT *, ts // {PANE} AS pane, ({hash_sql('user_id', 0)}) % 2 AS row_, {slot_sql('user_id', 1, 3)} AS slot FROM e WHERE kind = 0),
+own AS (SELECT pane, row_, slot, user_id FROM placed QUALIFY row_number() OVER (PARTITION BY pane, row_, slot ORDER BY ts, event_id) = 1)
+SELECT pane, user_id, CAST(count(*) - 1 AS BIGINT) AS n, arg_min(x, (ts, event_id)) AS first_x, arg_max(x, (ts, event_id)) AS last_x FROM placed JOIN own USING (pane, row_, slot, user_id) GROUP BY pane, user_id"""
+)
 def fold_table_subset(spark, sf_dir):
     adds = events(spark, sf_dir).where("kind = 0")
-    owned = sketch.owned_counts(adds, ["user_id"], "ts", "event_id", PANE, 2, 4)
-    exact = adds.groupBy(F.floor(F.col("ts") / PANE).alias("pane"), "user_id").agg(F.count("*").alias("truth"))
-    return owned.join(exact, ["pane", "user_id"], "left").agg(F.count_if(F.coalesce("truth", F.lit(0)) < F.col("n")).alias("violations"))
+    made = None
+    for name, fold in (("n", COUNTER), ("first_x", FIRST), ("last_x", LATEST)):
+        program = Program()
+        program.fold("f", ["user_id"], w.Since(12 * HOUR), **fold)
+        spec = program.sets["f"].fold
+        own = sketch.fold_table(adds, ["user_id"], spec, "ts", "event_id", PANE, 2, 3, name)
+        made = own if made is None else made.join(own, ["pane", "user_id"])
+    return made
+
+
+@query(f"WITH {E} SELECT ts // {PANE} AS pane, count(DISTINCT user_id) AS distinct_keys FROM e WHERE kind = 0 GROUP BY 1")
+def workload_statistics(spark, sf_dir):
+    return sketch.statistics(events(spark, sf_dir).where("kind = 0"), ["user_id"], "ts", PANE)
 
 
 GRID = [(b, r, p) for b in (10, 14, 18) for r in (1, 2, 3) for p in (2, 3, 4)]
@@ -493,3 +535,165 @@ def bloom_fpr_model(spark, sf_dir):
 def cms_error_model(spark, sf_dir):
     rows = [(b, r, round(sketch.cms_error(1 << b, r), 12)) for b, r in sorted({(b, r) for b, r, _p in GRID})]
     return spark.createDataFrame(rows, "bits int, r int, error double")
+
+
+# wide inputs, several filters, text form
+
+WIDE = 281474976710655
+WIDE_E = E.replace("event_id * 7919 % 1000 AS x", f"epoch_us(ts) & {WIDE} AS x")
+
+
+def wide_fold(spark, sf_dir, fold: dict) -> DataFrame:
+    p = one_set("fold", DAY2, ADD_ASK, fold)
+    p.widths["x"] = 48
+    return run(p, events(spark, sf_dir).withColumn("x", F.col("ts").bitwiseAND(F.lit(WIDE))), "r")
+
+
+@query(fold_sql(f"l[1] & {TOP}", DAY2).replace(E, WIDE_E))
+def fold_first_wide_input(spark, sf_dir):
+    return wide_fold(spark, sf_dir, FIRST)
+
+
+@query(fold_sql(f"l[len(l)] & {TOP}", DAY2).replace(E, WIDE_E))
+def fold_last_wide_input(spark, sf_dir):
+    return wide_fold(spark, sf_dir, LATEST)
+
+
+def filters(n: int) -> Program:
+    """n independent filters, each opened by another kind of event; an event passes if all let it."""
+    p = Program()
+    for i in range(n):
+        p.local(f"found{i}", 1, 8)
+        p.exist(f"open{i}", ["inner", "outer"], DAY2)
+        p.route(f"open{i}", ["kind"], ([Eq(i)], "add", {"inner": "src", "outer": "dst"}), ([_], "query", {"inner": "dst", "outer": "src"}), into=f"found{i}")
+    shut = [([Eq(0) if j == i else _ for j in range(n)], {"drop_ctl": 1}) for i in range(n)]
+    return p.match([f"found{i}" for i in range(n)], *shut, ([_] * n, {"drop_ctl": 0}))
+
+
+def filters_sql(n: int) -> str:
+    parts = [E]
+    for i in range(n):
+        asks = f"({', '.join(str(k) for k in range(5) if k != i)})"
+        parts.append(f"f{i} AS (SELECT q.event_id, CASE WHEN any_value(q.kind) = {i} THEN 1 ELSE CAST(count(i.event_id) > 0 AS BIGINT) END AS found{i} FROM {joined(DAY2, f'({i})', asks, SWAP)} GROUP BY q.event_id)")
+    found = ", ".join(f"CAST(found{i} AS BIGINT) AS found{i}" for i in range(n))
+    least = f"least({', '.join(f'found{i}' for i in range(n))})" if n > 1 else "found0"
+    tables = "f0" + "".join(f" JOIN f{i} USING (event_id)" for i in range(1, n))
+    return f"WITH {', '.join(parts)} SELECT event_id, {found}, CAST({least} = 0 AS BIGINT) AS drop_ctl FROM {tables}"
+
+
+def several_filters(n: int) -> None:
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return run(filters(n), events(spark, sf_dir), *(f"found{i}" for i in range(n)), "drop_ctl")
+
+    f.__name__ = f"filters_{n}"
+    query(filters_sql(n))(f)
+
+
+for _n in (1, 2, 3, 4):
+    several_filters(_n)
+
+FIREWALL_TEXT = """
+type pair = { int<32> inner; int<32> outer; }
+global ExistSet.t<pair> seen = ExistSet.create(super, within(hour(24), hour(48)), Exist());
+handle packet(pkt_type p) {
+  int<8> found = 1;
+  match p.kind with
+  | 0 -> { ExistSet.add(seen, { inner = p.src; outer = p.dst }); }
+  | _ -> { found = ExistSet.query(seen, { inner = p.dst; outer = p.src }); }
+  match found with
+  | 0 -> { p.drop_ctl = 1; }
+  | _ -> { p.drop_ctl = 0; }
+}
+"""
+
+
+@query(ORACLES["firewall_drop"])
+def firewall_from_text(spark, sf_dir):
+    return run(parse.parse(FIREWALL_TEXT), events(spark, sf_dir), "found", "drop_ctl")
+
+
+# packets, captures, streams
+
+HEADERS = {
+    "hdr.ethernet.ether_type": "CASE WHEN event_id % 5 = 0 THEN 2054 ELSE 2048 END",
+    "hdr.ipv4.protocol": "CASE event_id % 3 WHEN 0 THEN 6 WHEN 1 THEN 17 ELSE 1 END",
+    "hdr.ipv4.ttl": "event_id % 256",
+    "hdr.ipv4.src_addr": "src",
+    "hdr.ipv4.dst_addr": "dst",
+    "hdr.tcp.src_port": "x",
+    "hdr.udp.src_port": "x + 1",
+}
+
+
+@query(
+    f"""WITH {E}, k AS (SELECT event_id, event_id % 3 AS m, event_id % 256 AS ttl, src, x FROM e WHERE event_id % 5 <> 0)
+SELECT event_id AS seq, ttl - CAST(ttl > 0 AS BIGINT) AS ttl, CASE WHEN m = 0 THEN x ELSE 0 END AS tcp_port, CASE WHEN m = 1 THEN x + 1 ELSE 0 END AS udp_port, src * 256 + (CASE WHEN m = 0 THEN 6 WHEN m = 1 THEN 17 ELSE 1 END) AS tag FROM k WHERE ttl >= 8"""
+)
+def packet_rewrite(spark, sf_dir):
+    """Nested packets: headers parsed, one rewritten, short-lived packets dropped, the others emitted."""
+    flat = events(spark, sf_dir).selectExpr("event_id AS seq", "ts * 1000 AS ts_ns", *(f"CAST({e} AS BIGINT) AS `{c}`" for c, e in HEADERS.items()))
+    rows = packets.parse_headers(packets.flatten(packets.nest(flat)))
+    p = Program().local("tag", "hdr.ipv4.src_addr ++ hdr.ipv4.protocol", 40)
+    p.match(["hdr.ipv4.ttl"], ([Range(0, 7)], {"ig_intr_dprsr_md.drop_ctl": 1}), ([_], {"ig_intr_dprsr_md.drop_ctl": 0}))
+    p.assign("hdr.ipv4.ttl", "hdr.ipv4.ttl |-| 1")
+    made = packets.flatten(packets.nest(packets.emit(lower.run(p, rows, tick=1))))
+    return made.select("seq", F.col("`hdr.ipv4.ttl`").alias("ttl"), F.col("`hdr.tcp.src_port`").alias("tcp_port"), F.col("`hdr.udp.src_port`").alias("udp_port"), "tag")
+
+
+@query(f"WITH {E}, k AS (SELECT event_id, ts * 1000 AS t FROM e WHERE event_id % 3 < 2) SELECT event_id, (t - (SELECT min(t) FROM k)) // 1000 AS offset_us FROM k")
+def relative_time(spark, sf_dir):
+    rows = events(spark, sf_dir).withColumns({"ts_ns": F.col("ts") * 1000, "protocol": F.expr(HEADERS["hdr.ipv4.protocol"])})
+    return packets.relative_time(rows).select("event_id", "offset_us")
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share; a temporary one only where all runs on this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="panewise-")
+    return f"{root}/capture-{uuid.uuid4().hex}"
+
+
+MONTH = 1704067200000000  # 2024-01-01 in microseconds
+REACH = 6_000_000_000
+STAMP = f"(ts - {MONTH}) // 20"
+
+
+@query(
+    f"""WITH {E}, c AS (SELECT event_id, {STAMP} AS m, src >= 8 AS inner_side, CASE WHEN src >= 8 THEN src ELSE dst END AS i, CASE WHEN src >= 8 THEN dst ELSE src END AS o, event_id % 3 % 2 AS report FROM e),
+lab AS (SELECT q.event_id, any_value(q.m) AS m, any_value(q.report) AS report, CASE WHEN any_value(q.inner_side) THEN 0 WHEN count(a.event_id) > 0 THEN 0 ELSE 1 END AS truth
+  FROM c q LEFT JOIN c a ON NOT q.inner_side AND a.inner_side AND a.i = q.i AND a.o = q.o AND a.m >= q.m - {REACH} AND a.m < q.m GROUP BY q.event_id)
+SELECT CAST((m - (SELECT min(m) FROM c)) // 1000000000 AS INTEGER) AS "window", count(*) FILTER (report = 0 AND truth = 1) AS num_falsepos, count(*) FILTER (report = 1 AND truth = 0) AS num_falseneg,
+count(*) FILTER (report = 0 AND truth = 0) AS num_truepos, count(*) FILTER (report = 1 AND truth = 1) AS num_trueneg, count(*) FILTER (truth = 1) AS num_negatives, count(*) AS num_packets,
+round(count(*) FILTER (report = 0 AND truth = 1) / nullif(CAST(count(*) FILTER (truth = 1) AS DOUBLE), 0), 9) AS FPR FROM lab GROUP BY 1"""
+)
+def capture_evaluation(spark, sf_dir):
+    """The whole evaluation job: a capture file in, reports and times out of its MAC addresses, ground truth, counts by second, a CSV report."""
+    mac = lambda c: F.concat_ws(":", *(F.substring(F.lpad(F.lower(F.hex(c)), 12, "0"), i, 2) for i in range(1, 12, 2)))
+    rows = events(spark, sf_dir)
+    ip = lambda c: F.concat(F.lit("10.0.0."), F.col(c).cast("string"))
+    stamp = F.floor((F.col("ts") - MONTH) / 20)
+    capture = rows.select(ip("src").alias("src_ip"), ip("dst").alias("dst_ip"), F.lit(6).alias("protocol"), F.col("event_id").cast("string").alias("ip_id"), mac(F.col("event_id") % 3 % 2).alias("src_mac"), mac(stamp).alias("dst_mac"))
+    folder = work_folder(spark)
+    packets.write_capture(capture, f"{folder}/capture")
+    read = packets.report_columns(packets.read_capture(spark, f"{folder}/capture"))
+    known = evalkit.classify(read, ["10.0.0.8/29"])
+    truth = evalkit.ground_truth(known, F.col("from_internal"), ["internal_ip", "external_ip"], "mac_ts", "ip_id", REACH)
+    stats = evalkit.confusion(truth).withColumn("FPR", F.round("FPR", 9))
+    packets.write_table(stats, f"{folder}/stats", single=True)  # a row for each second
+    return packets.read_table(spark, f"{folder}/stats", stats.schema)
+
+
+@query(f"WITH {E} SELECT ts // {us(HOUR)} AS hour, user_id, count(*) AS n FROM e WHERE kind = 0 GROUP BY ALL")
+def stream_pane_counts(spark, sf_dir):
+    """Adds by key and hour from a stream of files, with watermark and native state, read to its present end."""
+    folder, name = work_folder(spark), f"panes_{uuid.uuid4().hex}"
+    rows = events(spark, sf_dir).where("kind = 0").select(F.timestamp_micros("ts").alias("ts"), "user_id")
+    rows.write.parquet(f"{folder}/in")
+    live = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+    counts = streaming.pane_counts(live, ["user_id"], "1 hour")
+    q = counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).select(F.floor(F.unix_micros("window.start") / us(HOUR)).alias("hour"), "user_id", "n")

@@ -18,12 +18,14 @@ _FIELDS = {
 }
 #: Columns of a tab-separated capture, in order (a fixed format).
 CAPTURE_COLUMNS = (
-    "version ip_hdr_len ip_dsfield tos_precedence tos_delay tos_throughput tos_reliability tos_cost ip_dsfield_dscp ip_dsfield_ecn "
-    "ip_len ip_id flags_rb flags_sf flags_df flags_mf frag_offset ip_fragment fragment_count ttl protocol src_ip dst_ip ip_src_rt "
-    "ip_opt_flag ip_opt_type ip_opt_type_number ip_opt_type_class src_port dst_port tcp_seq tcp_ack tcp_flags_res tcp_flags_ns "
-    "tcp_flags_cwr tcp_flags_ecn tcp_flags_urg tcp_flags_ack tcp_hdr_len tcp_flags_push tcp_flags_reset tcp_flags_syn tcp_flags_fin "
-    "tcp_window_size tcp_urgent_pointer tcp_option_len length tcp_len time_stamp src_mac dst_mac"
-).split()
+    "version", "ip_hdr_len", "ip_dsfield", "tos_precedence", "tos_delay", "tos_throughput", "tos_reliability",
+    "tos_cost", "ip_dsfield_dscp", "ip_dsfield_ecn", "ip_len", "ip_id", "flags_rb", "flags_sf", "flags_df", "flags_mf",
+    "frag_offset", "ip_fragment", "fragment_count", "ttl", "protocol", "src_ip", "dst_ip", "ip_src_rt", "ip_opt_flag",
+    "ip_opt_type", "ip_opt_type_number", "ip_opt_type_class", "src_port", "dst_port", "tcp_seq", "tcp_ack",
+    "tcp_flags_res", "tcp_flags_ns", "tcp_flags_cwr", "tcp_flags_ecn", "tcp_flags_urg", "tcp_flags_ack", "tcp_hdr_len",
+    "tcp_flags_push", "tcp_flags_reset", "tcp_flags_syn", "tcp_flags_fin", "tcp_window_size", "tcp_urgent_pointer",
+    "tcp_option_len", "length", "tcp_len", "time_stamp", "src_mac", "dst_mac",
+)
 _INTEGERS = {"src_port", "dst_port", "protocol"}
 
 
@@ -94,6 +96,11 @@ def read_capture(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, schema=schema, sep="\t")
 
 
+def write_capture(df: DataFrame, path: str) -> None:
+    """A tab-separated capture without header; columns that the table lacks are empty."""
+    df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in CAPTURE_COLUMNS)).write.mode("overwrite").csv(path, sep="\t")
+
+
 def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """Comma-separated values with a header line."""
     return spark.read.csv(path, header=True, sep=",", schema=schema)

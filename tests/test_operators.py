@@ -48,9 +48,39 @@ def test_error_models():
     assert many[0] < few[0] and many[1].count in w.pane_counts(window)
 
 
+def test_hash_and_fold_table(spark):
+    rows = [(i, i % 7, i % 3, i * 11 % 5) for i in range(60)]
+    df = spark.createDataFrame(rows, "ts long, k long, j long, x long")
+
+    def plain(seed, *keys):
+        h = (seed * uint.HASH_SEED + 1) % 2**32
+        for k in keys:
+            for part in (k % 2**32, k >> 32):
+                h = (h ^ part) * uint.HASH_FACTOR % 2**32
+                h ^= h >> 15
+        return h
+
+    got = df.select("k", "j", uint.hash32(3, F.col("k"), F.col("j") + F.lit(2**40)).alias("h"), uint.slot(1, 4, F.col("k")).alias("s")).distinct().collect()
+    assert all(r["h"] == plain(3, r["k"], r["j"] + 2**40) and r["s"] == plain(1, r["k"]) >> 28 for r in got)
+    from panewise.plans.program import Program
+
+    for fold in (queries.COUNTER, queries.FIRST, {"init": {"v": "x + 1"}, "update": {"v": "x"}}):
+        program = Program()
+        program.fold("f", ["k"], w.Since(5), **fold)
+        table = {(r["pane"], r["k"]): r["v"] for r in sketch.fold_table(df, ["k"], program.sets["f"].fold, "ts", "ts", 20, 2, 1, "v").collect()}
+        cells, want = {}, {}
+        for ts, k, _, x in rows:  # a cell is set by its first key; other keys are ignored
+            at = (ts // 20, plain(0, k) % 2, plain(1, k) >> 31)
+            if cells.setdefault(at, k) == k:
+                old = want.get((ts // 20, k))
+                want[ts // 20, k] = ((0, x, x + 1) if old is None else (old + 1, old, x))[(queries.COUNTER, queries.FIRST).index(fold) if fold in (queries.COUNTER, queries.FIRST) else 2]
+        assert table == want
+    assert sketch.measured(df, ["k"], "ts", 20, 1000) == (20_000, 7.0)
+
+
 def test_plans(spark, sf_dir):
     """No Python on the native shapes, narrow scans, one exchange for a set."""
-    for name in ("exist_within_query", "count_within_add_query", "fold_counter", "fold_prev_compare", "firewall_drop"):
+    for name in ("exist_within_query", "count_within_add_query", "fold_counter", "fold_prev_compare", "fold_last_pane", "firewall_drop"):
         plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "value" not in plan.split("ReadSchema")[1][:200], name
         assert plan.count("Exchange hashpartitioning") == 1, name

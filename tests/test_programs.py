@@ -44,6 +44,42 @@ def test_sets_equal_the_event_loop(spark, window, kind, fold):
     assert got == {r["seq"]: r["r"] for r in loop.run_rows(p, rows, "ts", "seq")}
 
 
+@pytest.mark.parametrize("fold", FOLDS)
+@pytest.mark.parametrize("window", [w.Within(40, 80), w.Since(50), w.Last(30)], ids=str)
+def test_wide_inputs_are_cut(spark, window, fold):
+    r = random.Random(3)
+    rows = [e | {"x": r.choice([0, 5, 2**32 - 1]) + r.choice([0, 2**32, 2**40, 2**47])} for e in events()]
+    p = one("fold", window, fold)
+    p.widths["x"] = 48
+    got = {e["seq"]: e["r"] for e in lower.run(p, spark.createDataFrame(rows), "ts", "seq").collect()}
+    assert got == {e["seq"]: e["r"] for e in loop.run_rows(p, rows, "ts", "seq")}
+
+
+@pytest.mark.parametrize(
+    "init,update,good",
+    [
+        ({"a": 0}, {"a": "s.a + 1"}, True),
+        ({"a": "x", "n": 0}, {"a": "x", "n": "s.n + 1 if s.a > x else s.n"}, True),
+        ({"a": 0, "b": 0}, {"a": "s.a + s.b", "b": "s.b"}, False),
+        ({"a": 0}, {"a": "x + y"}, False),
+        ({"a": 0}, {"a": "s.a + 1 if (s.a & x) > 3 else s.a"}, False),
+        ({"a": 0}, {"a": "s.a + 1 if s.a > x && x > 3 && s.a < 9 else s.a"}, False),
+        ({"a": 0}, {"a": "s.a + (1 if s.a > x else 0)"}, False),
+        ({"a": "x", "b": "y"}, {"a": "z", "b": "s.b"}, False),
+        ({"a": 0, "b": 0, "c": 0}, {"a": "s.a", "b": "s.b", "c": "s.c"}, False),
+    ],
+)
+def test_strict_folds(init, update, good):
+    p = pr.Program()
+    p.fold("z", ["k"], w.Since(5), init, update)
+    pr.analyze(p)
+    if good:
+        pr.analyze(p, strict=True)
+    else:
+        with pytest.raises(pr.ProgramError):
+            pr.analyze(p, strict=True)
+
+
 def test_empty_stream(spark):
     df = spark.createDataFrame([], "ts long, seq long, k long, a long, x long")
     for kind, fold in (("exist", None), ("count", None), ("fold", "counter"), ("fold", "any")):
