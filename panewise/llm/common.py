@@ -6,6 +6,7 @@ so a lost executor never loses an intermediate result.
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import itertools
@@ -72,6 +73,17 @@ BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 16 << 20
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
+    """Arrow batches of at most ``size`` bytes for what runs inside; the session's setting comes back after it."""
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function for mapInArrow that gets batches of a bounded size and gives freed memory back when a task ends.
 

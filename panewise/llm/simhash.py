@@ -40,6 +40,8 @@ BROADCAST_ROWS = 100_000
 SIMILARITY = 0.8
 #: Radius within which near_dedup compares a text with the least of its bucket first. It decides no link: all pairs left are compared after that.
 WIDE = 26
+#: Bytes of text whose shingle sets are made at once.
+SET_BYTES = 2 << 20
 #: Words of 64 bits in the parity sketch of a shingle set.
 SKETCH = 8
 #: Rounds in which only as many pairs are compared as would connect all that may be similar; one round of all pairs left follows.
@@ -311,7 +313,7 @@ def described(data: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in common.slices(batch):
+            for b in common.slices(batch, limit=SET_BYTES):
                 sets = word_sets(b, size)
                 fp = np.array([fingerprint(x) for x in sets], np.uint64).view(np.int64)
                 key = np.array([xxhash.xxh64_intdigest(x.tobytes()) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
@@ -391,7 +393,7 @@ def shingle_weights(data: DataFrame, size: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for b in common.slices(batch):
+            for b in common.slices(batch, limit=SET_BYTES):
                 for hashes in word_sets(b, size):
                     np.add.at(total, (hashes % np.uint64(SLOTS)).astype(np.int64), 1)
         used = np.flatnonzero(total)
@@ -417,7 +419,7 @@ def prefix_rows(data: DataFrame, weights: np.ndarray, size: int, similarity: flo
         order = held.value
         sent: set[int] = set()
         for batch in batches:
-            for b in common.slices(batch):
+            for b in common.slices(batch, limit=SET_BYTES):
                 heads, keys, counts = [np.zeros(0, np.uint64)], [], []
                 for hashes in word_sets(b, size):
                     n = len(hashes)
@@ -514,7 +516,7 @@ def similar_pairs(pairs: DataFrame, data: DataFrame, nodes: DataFrame, size: int
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in common.slices(batch):
+            for b in common.slices(batch, limit=SET_BYTES):
                 yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([x.astype("<u8").tobytes() for x in word_sets(b, size)], pa.binary())], ["key", "set"])
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -584,6 +586,12 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 4, blocks:
     columns are carried, whatever their names. Sets are compared by 64-bit
     hashes of their shingles, and equal sets are found by a 64-bit hash.
     """
+    with common.small_batches(docs.sparkSession):
+        return without_near_copies(docs, shingle, radius, blocks, similarity, id_col, text_col)
+
+
+def without_near_copies(docs: DataFrame, shingle: int, radius: int, blocks: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """The steps of ``drop_near_copies``."""
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "near")
     mine = common.fresh(docs, "__uid")

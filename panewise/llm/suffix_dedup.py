@@ -45,9 +45,9 @@ LENGTH = 100
 GRAM = 32
 BASE2 = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes of a text handled at once; longer texts come in pieces that overlap by LENGTH - 1.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Bytes of text of which a task sends equal contexts once.
-CHUNK = 32 << 20
+CHUNK = 16 << 20
 #: Bytes of contexts in one index.
 BATCH = 1 << 19
 #: Contexts of one anchor beyond which they are dealt over several indexes.
@@ -402,7 +402,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     numbered = common.numbered(docs, mine, scratch)
     text = F.col(f"`{text_col}`")
     base = numbered.select(F.col(mine).alias("uid"), F.coalesce(F.col(f"`{id_col}`").cast("long"), least).alias("dk"), text.alias("text"))
-    found = find_repeats(base, scratch)
+    with common.small_batches(spark):
+        found = find_repeats(base, scratch)
     by_doc = found.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
     kept = [F.col(f"`{id_col}`").cast("long").alias("doc_id")] if carry is None else [F.col(f"`{c}`") for c in carry]
     data = numbered.select(F.col(mine).alias("uid"), F.struct(*kept).alias("carried"), text.alias("text")).join(by_doc, "uid", "left").select("carried", "text", "found")
