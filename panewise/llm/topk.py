@@ -8,9 +8,9 @@ which it carries from leaf to leaf and from shard to shard. All queries of a
 block move at once. Queries come in blocks; a task holds one group of blocks
 and streams its share of the shards, so nothing unbounded is broadcast.
 
-Components become floor(scale * x) of the component as a double; scores are
-exact integers while dim * max|q| * max|v| < 2^53, beyond that they are
-computed in 64-bit integers.
+Components become floor(scale * x) of the component as a double, held within
++-2^62; scores are exact integers whatever their size, and those beyond the
+64-bit range are held at its ends (where they tie).
 
 Cases: vectors that are null or hold a null or non-finite component take no
 part; shorter vectors count as padded with zeros; equal scores rank by the
@@ -60,7 +60,9 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     big = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
     if big < 2**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    if big < 2**62:
+        return a @ b.T
+    return np.clip(a.astype(object) @ b.astype(object).T, NO_SCORE + 1, NO_ID).astype(np.int64)
 
 
 class Best:
@@ -86,7 +88,7 @@ def search(queries: np.ndarray, query_uids: np.ndarray, best: Best, points: np.n
     low, high = np.array([points[x].min(0) for x in leaves]), np.array([points[x].max(0) for x in leaves])
     up, down = np.maximum(queries, 0), np.minimum(queries, 0)
     bound = up.astype(float) @ high.T.astype(float) + down.astype(float) @ low.T.astype(float)
-    bound += np.abs(bound) * 1e-12 + 1
+    bound = np.maximum(bound + np.abs(bound) * 1e-12 + 1, float(NO_SCORE))
     order = np.argsort(-bound, axis=1, kind="stable")
     visits = 0
     active = np.arange(len(queries))
@@ -117,7 +119,7 @@ def quantised(batch: pa.RecordBatch, scale: int) -> tuple[np.ndarray, np.ndarray
     ok = lists.is_valid().to_numpy(zero_copy_only=False)
     ok &= np.bincount(row[~np.isfinite(value)], minlength=len(length)) == 0
     out = np.zeros((len(length), int(length.max(initial=0))), np.int64)
-    out[row, np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)] = np.floor(scale * np.where(np.isfinite(value), value, 0)).astype(np.int64)
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)] = np.clip(np.floor(scale * np.where(np.isfinite(value), value, 0)), -(2.0**62), 2.0**62).astype(np.int64)
     ids = batch.column("id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
     return batch.column("uid").to_numpy()[ok], ids[ok], out[ok]
 

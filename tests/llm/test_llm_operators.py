@@ -464,6 +464,17 @@ def test_top_k(spark):
     assert topk.top_k(few).where("query_id = 300").count() == 3
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(0, [2.0**30, 2.0**30]), (1, [2.0**30, 1.0]), (2, [-(2.0**30), -(2.0**30)]), (3, [1.0, 0.5]), (4, [2.0**18, -3.0]), (100, [1e300, 0.0]), (200, [2.0**18, 7.0])]
+    held = {i: [max(-(2**62), min(2**62, int(np.floor(1024 * x)))) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 100, 200):
+        scored = sorted((-max(-(2**63) + 1, min(2**63 - 1, sum(a * b for a, b in zip(held[q], v, strict=True)))), i) for i, v in held.items() if i != q)
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == sorted(want)
+
+
 def labelled_corpus(spark, sf_dir):
     return spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
 
