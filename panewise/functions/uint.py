@@ -80,7 +80,8 @@ def ipv4_to_int(text: Column) -> Column:
     part = F.split(text, r"\.")
     byte = [part[i].cast("long") for i in range(4)]
     value = ((byte[0] * 256 + byte[1]) * 256 + byte[2]) * 256 + byte[3]
-    return F.when(text.rlike(r"^(\d{1,3}\.){3}\d{1,3}$"), value)
+    whole = F.greatest(*byte) <= 255
+    return F.when(text.rlike(r"^(\d{1,3}\.){3}\d{1,3}$") & whole, value)
 
 
 def int_to_ipv4(value: Column) -> Column:

@@ -32,9 +32,9 @@ def test_capture_files(spark, tmp_path):
 
 
 def test_addresses(spark):
-    df = spark.createDataFrame([("10.1.2.3", "AA-bb.cc:dd ee 0f"), ("x", "0")], "ip string, mac string")
+    df = spark.createDataFrame([("10.1.2.3", "AA-bb.cc:dd ee 0f"), ("x", "0"), ("999.1.1.1", "0")], "ip string, mac string")
     got = df.select(uint.ipv4_to_int(F.col("ip")).alias("i"), uint.mac_to_int(F.col("mac")).alias("m"), uint.in_prefixes(uint.ipv4_to_int(F.col("ip")), ["10.0.0.0/8"]).alias("p")).collect()
-    assert (got[0]["i"], got[0]["m"], got[0]["p"]) == (10 << 24 | 1 << 16 | 2 << 8 | 3, 0xAABBCCDDEE0F, True) and got[1]["i"] is None
+    assert (got[0]["i"], got[0]["m"], got[0]["p"]) == (10 << 24 | 1 << 16 | 2 << 8 | 3, 0xAABBCCDDEE0F, True) and got[1]["i"] is None and got[2]["i"] is None
 
 
 def test_error_models():
