@@ -84,6 +84,11 @@ def test_plans(spark, sf_dir):
         plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "value" not in plan.split("ReadSchema")[1][:200], name
         assert plan.count("Exchange hashpartitioning") == 1, name
+    for name in ("fold_since_anchored", "ooo_tcp"):
+        plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        # Python sees keys and times of adds only, and rows are dealt by key and pane
+        assert plan.count("MapInArrow ") == 1 and "MapInArrow run(__c0" in plan and ", __c2" not in plan, name
+        assert plan.count("Exchange hashpartitioning") == 2, name
 
 
 @pytest.mark.parametrize("kind,window,fold", [("ExistSet", w.Within(24 * queries.HOUR, 48 * queries.HOUR), None), ("CountSet", w.Last(24 * queries.HOUR), None), ("FoldSet", w.Since(60 * queries.HOUR), queries.COUNTER)])

@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from panewise.functions.patterns import Bits, Eq, Range, Wild
+from panewise.operators import folds
 from panewise.plans import loop, lower, parse
 from panewise.plans import program as pr
 from panewise.plans import windows as w
@@ -44,6 +45,27 @@ def test_sets_equal_the_event_loop(spark, window, kind, fold):
     assert got == {r["seq"]: r["r"] for r in loop.run_rows(p, rows, "ts", "seq")}
 
 
+@pytest.mark.parametrize("rows_a_batch", [1, 7, 10000])
+def test_anchors_carry_over_batches(spark, rows_a_batch):
+    r = random.Random(rows_a_batch)
+    rows = [(r.choice([None, 1, 2, 3]), r.choice(["", "a", None]), r.choice([r.randint(0, 60), r.randint(0, 400) * 10])) for _ in range(600)]
+    rows += [(9, "far", t) for t in (-(2**62), -1, 0, 24, 25, 2**62)]
+    want = set()
+    for key in {x[:2] for x in rows}:
+        end = None
+        for t in sorted(x[2] for x in rows if x[:2] == key):
+            if end is None or t >= end:
+                want.add((*key, t))
+                end = t + 25
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
+    try:
+        got = [tuple(x) for x in folds.anchors(spark.createDataFrame(rows, "`k.a` long, s string, ts long"), ["k.a", "s"], "ts", 25).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == len(want) and set(got) == want
+
+
 @pytest.mark.parametrize("fold", FOLDS)
 @pytest.mark.parametrize("window", [w.Within(40, 80), w.Since(50), w.Last(30)], ids=str)
 def test_wide_inputs_are_cut(spark, window, fold):
