@@ -17,7 +17,8 @@ from ..functions.uint import hash32, long, mask, slot
 from ..plans import windows as w
 from ..plans.expr import to_column
 from ..plans.program import Fold
-from . import folds
+from . import folds, sets
+from .sets import INSQUERY, OP
 
 #: Distinct keys in a minute where no statistics are given.
 DEFAULT_KEYS = (60_000_000_000, 57060.0)
@@ -96,6 +97,43 @@ def look_up(queries: DataFrame, sketch: DataFrame, keys: list[str], ts: str, pan
     return queries.join(whole, seq, "left").withColumn(result, F.least(value, long((1 << 32) - 1)) if counts else (value > 0).cast("long")).drop("n")
 
 
+def approximate(df: DataFrame, keys: list[str], kind: str, window: w.Window, size: tuple[w.Panes, int, int], ts: str, seq: str, result: str, old: Column, tick: int) -> DataFrame:
+    """A routed Exist or Count set answered from a Bloom filter or count-min sketch of ``size`` (panes, rows, log2 of slots).
+
+    A query reads all panes but the one being cleared: whole earlier panes,
+    and of its own what came before it. ``since`` reads its own pane, ``last``
+    the one before. A null key counts as 0 in the hashes, which keeps the
+    contract (a superset of the members, an upper bound of the counts).
+    """
+    if kind not in ("ExistSet", "CountSet"):
+        raise ValueError("Exist and Count sets have sketches; for folds see fold_table")
+    panes, rows, bits = size
+    length = -(-panes.length // tick)
+    last = isinstance(w.normal(window), w.Last)
+    offsets = {w.Since: [0], w.Last: [1]}.get(type(w.normal(window)), list(range(panes.count - 1)))
+    places = F.array(*(F.struct(F.lit(r).alias("row"), slot(r + 1, bits, *map(F.col, keys)).alias("slot")) for r in range(rows)))
+    routed = df.where(F.col(OP).isNotNull()).select(OP, F.col(ts).alias("__t"), F.col(seq).alias("__q"), pane_column(ts, length).alias("__pane"), F.explode(places).alias("__at"))
+    at = routed.select(OP, "__t", "__q", "__pane", F.col("__at.row").alias("__row"), F.col("__at.slot").alias("__slot"))
+    cell, asked = ["__pane", "__row", "__slot"], F.col(OP) != sets.INSERT
+    read = []
+    if 0 in offsets:
+        before = Window.partitionBy(*cell).orderBy("__t", "__q").rowsBetween(Window.unboundedPreceding, -1)
+        read.append(at.withColumn("__n", F.sum(sets.adds().cast("long")).over(before)).where(asked))
+    if any(offsets):
+        whole = at.where(sets.adds()).groupBy(*cell).agg(F.count("*").alias("__n"))
+        earlier = F.explode(F.array(*(F.col("__pane") - o for o in offsets if o)))
+        read.append(at.where(asked).withColumn("__pane", earlier).join(whole, cell))
+    found = read[0].select("__q", *cell, "__n")
+    for more in read[1:]:
+        found = found.union(more.select(found.columns))
+    hits = found.where("__n > 0").groupBy("__q", "__pane").agg(F.count("*").alias("__hit"), F.min("__n").alias("__n"))
+    total = hits.where(F.col("__hit") == rows).groupBy("__q").agg(F.sum("__n").alias("__n"))
+    n = F.coalesce("__n", long(0)) + F.when((F.col(OP) == INSQUERY) & F.lit(not last), 1).otherwise(0)
+    value = F.least(n, long(sets.COUNT_TOP)) if kind == "CountSet" else (n > 0).cast("long")
+    made = df.join(total, F.col(f"`{seq}`") == F.col("__q"), "left").withColumn("__value", F.when(F.col(OP).isin(sets.QUERY, INSQUERY), value).otherwise(old))
+    return made.select(*(F.col(f"`{c}`") for c in df.columns if c != result), F.col("__value").alias(result))
+
+
 def owners(adds: DataFrame, keys: list[str], ts: str, seq: str, pane_ticks: int, rows: int, bits: int) -> DataFrame:
     """Fold table: the first key of each (pane, row, slot) owns it; a key's row comes from its hash."""
     row = F.pmod(hash32(0, *map(F.col, keys)), long(rows))
@@ -140,4 +178,4 @@ def measured(adds: DataFrame, keys: list[str], ts: str, pane_ticks: int, tick: i
     return pane_ticks * tick, float(mean or 0)
 
 
-__all__ = ["Window", "bloom_fpr", "cells", "choose", "cms_error", "fold_table", "fold_table_error", "look_up", "measured", "owners", "statistics"]
+__all__ = ["Window", "approximate", "bloom_fpr", "cells", "choose", "cms_error", "fold_table", "fold_table_error", "look_up", "measured", "owners", "statistics"]

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import all_hold, first_match
 from ..functions.uint import full, long, mask
-from ..operators import folds, sets
+from ..operators import folds, sets, sketch
 from .expr import Expr, to_column, width_of
-from .program import Assign, Local, Match, Program, Route, analyze
+from .program import Assign, Local, Match, Program, ProgramError, Route, analyze
+from .windows import Panes
 
 #: Widths of packet fields that are not 32 bits (fixed values of the headers).
 PACKET_WIDTHS = {
@@ -26,8 +27,8 @@ PACKET_WIDTHS = {
 class Scope:
     """Names to columns; a dotted packet field is the flat column of that name, or the nested one."""
 
-    def __init__(self, program: Program, df: DataFrame):
-        self.program, self.df = program, df
+    def __init__(self, program: Program, df: DataFrame, sketches: dict[str, tuple[Panes, int, int]]):
+        self.program, self.df, self.sketches = program, df, sketches
         self.locals = {s.name: s.width for s in program.body if isinstance(s, Local)}
 
     def width(self, name: str) -> int:
@@ -63,15 +64,20 @@ class Scope:
         return self.column(name) if known else long(0)
 
 
-def run(program: Program, df: DataFrame, ts: str = "ts_ns", seq: str = "seq", tick: int = 1, strict: bool = False) -> DataFrame:
-    """Apply a program to events, exactly.
+def run(program: Program, df: DataFrame, ts: str = "ts_ns", seq: str = "seq", tick: int = 1, strict: bool = False, sketches: dict[str, tuple[Panes, int, int]] | None = None) -> DataFrame:
+    """Apply a program to events, exactly but for the sets that ``sketches`` names.
 
     ``ts``: integer time column in units of ``tick`` ns; ``seq``: a unique
     tie-break. Adds the program's locals and assigned fields as columns (dotted
-    names are flat columns); rows and other columns stay.
+    names are flat columns); rows and other columns stay. ``sketches``: panes,
+    rows and log2 of slots (as ``sketch.choose`` gives them) of the sets to be
+    answered approximately; their ``err`` must allow more than the truth.
     """
     analyze(program, strict)
-    scope = Scope(program, df)
+    for name in sketches or {}:
+        if name not in program.sets or program.sets[name].err not in ("super", "approx"):
+            raise ProgramError(f"{name} is no set that may hold more than was added")
+    scope = Scope(program, df, sketches or {})
     for s in program.body:
         match s:
             case Local():
@@ -110,7 +116,9 @@ def route(scope: Scope, s: Route, ts: str, seq: str, tick: int) -> DataFrame:
     old = scope.old(result) if s.into else long(0)
     df = scope.df.withColumns(columns)
     args = (decl.window, ts, seq, result, old, tick)
-    if decl.kind == "ExistSet":
+    if s.set in scope.sketches:
+        out = sketch.approximate(df, names, decl.kind, decl.window, scope.sketches[s.set], *args[1:])
+    elif decl.kind == "ExistSet":
         out = sets.exist(df, names, *args)
     elif decl.kind == "CountSet":
         out = sets.count(df, names, *args)

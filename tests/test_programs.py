@@ -4,6 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from panewise.functions import uint
 from panewise.functions.patterns import Bits, Eq, Range, Wild
 from panewise.operators import folds
 from panewise.plans import loop, lower, parse
@@ -45,6 +46,46 @@ def test_sets_equal_the_event_loop(spark, window, kind, fold):
     assert got == {r["seq"]: r["r"] for r in loop.run_rows(p, rows, "ts", "seq")}
 
 
+@pytest.mark.parametrize("bits", [1, 12])
+@pytest.mark.parametrize("window,panes", [(w.Within(40, 80), w.Panes(4, 5, 2)), (w.Since(50), w.Panes(2, 25, 1)), (w.Last(30), w.Panes(3, 15, 1))], ids=str)
+@pytest.mark.parametrize("kind", ["exist", "count"])
+def test_programs_on_sketches(spark, kind, window, panes, bits):
+    def place(row, k):
+        h = ((row + 1) * uint.HASH_SEED + 1) % 2**32
+        for part in (k % 2**32, k >> 32):
+            h = (h ^ part) * uint.HASH_FACTOR % 2**32
+            h ^= h >> 15
+        return h >> 32 - bits
+
+    p, rows = one(kind, window), events()
+    got = {r["seq"]: r["r"] for r in lower.run(p, spark.createDataFrame(rows), "ts", "seq", sketches={"z": (panes, 2, bits)}).collect()}
+    offsets = {w.Since: [0], w.Last: [1]}.get(type(window), [0, 1, 2])
+    cells, want = {}, {}
+    for e in sorted(rows, key=lambda e: (e["ts"], e["seq"])):  # cell by cell, one event at a time
+        pane, at = e["ts"] // panes.length, [(r, place(r, e["k"])) for r in range(2)]
+        if e["a"] in (0, 2):
+            for c in at:
+                cells[pane, c] = cells.get((pane, c), 0) + 1
+        n = sum(min(cells.get((pane - o, c), 0) for c in at) for o in offsets)
+        want[e["seq"]] = (n if kind == "count" else int(n > 0)) if e["a"] in (1, 2) else 7
+    assert got == want
+    exact = {r["seq"]: r["r"] for r in loop.run_rows(p, rows, "ts", "seq")}
+    assert all(got[q] >= exact[q] for q in exact) and (bits == 1 or isinstance(window, w.Within) or got == exact)
+
+
+def test_sketches_need_their_contract(spark):
+    df = spark.createDataFrame(events(), "ts long, seq long, k long, a long, x long")
+    size = (w.Panes(2, 25, 1), 2, 4)
+    p = pr.Program().local("r", 7)
+    p.exist("z", ["k"], w.Since(50), err="exact")
+    for bad in ({"z": size}, {"none": size}):
+        with pytest.raises(pr.ProgramError):
+            lower.run(p, df, "ts", "seq", sketches=bad)
+    with pytest.raises(ValueError):
+        p = one("fold", w.Since(50), "counter")
+        lower.run(p, df, "ts", "seq", sketches={"z": size})
+
+
 @pytest.mark.parametrize("rows_a_batch", [1, 7, 10000])
 def test_anchors_carry_over_batches(spark, rows_a_batch):
     r = random.Random(rows_a_batch)
