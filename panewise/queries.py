@@ -499,6 +499,39 @@ def cms_count_upper(spark, sf_dir):
     return found.select("event_id", F.col("truth").cast("long").alias("truth"), "r")
 
 
+#: Four panes for DAY2; a query reads its own and the two before.
+FOUR = w.panes(DAY2, 4)
+FOUR_US = -(-FOUR.length // TICK)
+
+
+def program_sketch_sql(rows: int, bits: int, value: str) -> str:
+    """Whole earlier panes, and of a query's own pane what came before it."""
+    placed = " UNION ALL ".join(f"SELECT event_id, ts, kind, ts // {FOUR_US} AS p, {r} AS r, {slot_sql('user_id', r + 1, bits)} AS slot FROM e WHERE kind IN (0, 1)" for r in range(rows))
+    return f"""WITH {E}, placed AS ({placed}),
+cells AS (SELECT p, r, slot, count(*) AS n FROM placed WHERE kind = 0 GROUP BY ALL),
+running AS (SELECT *, count(*) FILTER (kind = 0) OVER (PARTITION BY p, r, slot ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM placed),
+seen AS (SELECT event_id, p, n FROM running WHERE kind = 1 AND n > 0 UNION ALL
+  SELECT a.event_id, c.p, c.n FROM placed a JOIN cells c ON a.kind = 1 AND c.r = a.r AND c.slot = a.slot AND c.p BETWEEN a.p - 2 AND a.p - 1),
+hit AS (SELECT event_id, p, min(n) AS n FROM seen GROUP BY ALL HAVING count(*) = {rows}),
+ans AS (SELECT event_id, sum(n) AS n FROM hit GROUP BY 1)
+SELECT e.event_id, {value} AS r FROM e LEFT JOIN ans USING (event_id)"""
+
+
+def program_sketch(spark, sf_dir, kind: str, rows: int, bits: int) -> DataFrame:
+    made = lower.run(one_set(kind, DAY2, ADD_ASK), events(spark, sf_dir), "ts", "event_id", TICK, sketches={"s": (FOUR, rows, bits)})
+    return made.select("event_id", "r")
+
+
+@query(program_sketch_sql(3, 5, "CAST(n IS NOT NULL AS BIGINT)"))
+def program_on_bloom(spark, sf_dir):
+    return program_sketch(spark, sf_dir, "exist", 3, 5)
+
+
+@query(program_sketch_sql(2, 5, "CAST(coalesce(n, 0) AS BIGINT)"))
+def program_on_count_min(spark, sf_dir):
+    return program_sketch(spark, sf_dir, "count", 2, 5)
+
+
 @query(
     f"""WITH {E}, placed AS (SELECT *, ts // {PANE} AS pane, ({hash_sql('user_id', 0)}) % 2 AS row_, {slot_sql('user_id', 1, 3)} AS slot FROM e WHERE kind = 0),
 own AS (SELECT pane, row_, slot, user_id FROM placed QUALIFY row_number() OVER (PARTITION BY pane, row_, slot ORDER BY ts, event_id) = 1)
