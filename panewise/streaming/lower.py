@@ -29,6 +29,10 @@ def stateful_set(events: DataFrame, decl: SetDecl, result: str, ts: str = "ts",
     events: ``op`` (INSERT, QUERY, INSQUERY), the key columns, the timestamp
     ``ts``, the tie-break ``seq`` and the BIGINT inputs of a fold. Returns
     keys, seq, ts and the result of each event that asked.
+
+    State of a key: the latest add for Exist within a time; counts by pane for
+    ``since`` and ``last``, by time for Count within a time; the fold of a
+    ``since`` state; the adds in the window for other folds.
     """
     keys = [k for k, _ in decl.keys]
     window = w.normal(decl.window)
@@ -55,6 +59,16 @@ def stateful_set(events: DataFrame, decl: SetDecl, result: str, ts: str = "ts",
             return own if own and own[0][0] // length == t // length - 1 else []
         return [h for h in held if h[0] // length == t // length - 1]
 
+    def fold_in(held: list, t: int) -> list:
+        """Adds of Exist and Count sets as (time, [count])."""
+        within = isinstance(window, w.Within)
+        if within and kind == "ExistSet":
+            return [(max([t, *(h[0] for h in held)]), [1])]
+        at = t if within else t // length * length
+        if held and held[-1][0] == at:
+            return [*held[:-1], (at, [int(held[-1][1][0]) + 1])]
+        return [*held, (at, [1])]
+
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -75,13 +89,13 @@ def stateful_set(events: DataFrame, decl: SetDecl, result: str, ts: str = "ts",
                 value = anchor[1 + fold.index] if anchor else 0
             else:
                 if op != "QUERY":
-                    held.append((t, x))
+                    held = fold_in(held, t) if fold is None else [*held, (t, x)]
                 held = [h for h in held if h[0] >= t - back]
                 own = live(held, t)
                 if kind == "ExistSet":
                     value = int(bool(own))
                 elif kind == "CountSet":
-                    value = min(len(own), TOP)
+                    value = min(sum(n for _, (n,) in own), TOP)
                 else:
                     cur = None
                     for _, y in own:

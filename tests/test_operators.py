@@ -91,7 +91,7 @@ def test_plans(spark, sf_dir):
         assert plan.count("Exchange hashpartitioning") == 2, name
 
 
-@pytest.mark.parametrize("kind,window,fold", [("ExistSet", w.Within(24 * queries.HOUR, 48 * queries.HOUR), None), ("CountSet", w.Last(24 * queries.HOUR), None), ("FoldSet", w.Since(60 * queries.HOUR), queries.COUNTER)])
+@pytest.mark.parametrize("kind,window,fold", [("ExistSet", w.Within(24 * queries.HOUR, 48 * queries.HOUR), None), ("CountSet", w.Last(24 * queries.HOUR), None), ("CountSet", w.Within(24 * queries.HOUR, 48 * queries.HOUR), None), ("ExistSet", w.Since(24 * queries.HOUR), None), ("FoldSet", w.Since(60 * queries.HOUR), queries.COUNTER)])
 def test_streaming_equals_batch(spark, sf_dir, tmp_path, kind, window, fold):
     from panewise.plans.program import Program
 
@@ -109,7 +109,7 @@ def test_streaming_equals_batch(spark, sf_dir, tmp_path, kind, window, fold):
     for k in range(3):  # three micro-batches in time order
         spark.createDataFrame(part[k * third : (k + 1) * third], stream.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(stream.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    name = f"out_{kind}"
+    name = f"out_{kind}_{type(window).__name__}"
     q = streaming.stateful_set(source, decl, "r", seq="event_id").writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).start()
     try:
         q.processAllAvailable()
