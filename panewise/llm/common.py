@@ -14,7 +14,7 @@ import re
 import tempfile
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +55,18 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def save_parts(self, parts: Iterable[DataFrame]) -> DataFrame:
+        """One table of all parts (one at least), written one after the other; the shuffle files of a part go before the next is written."""
+        path = f"{self.base}/t{next(self.count)}"
+        for df in parts:
+            df.write.mode("append").parquet(path)
+            schema = df.schema
+            del df
+            release_shuffles(self.spark)
+        out = self.spark.read.schema(schema).parquet(path)
+        out._scratch_path = path
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later action reads."""
         jvm = self.spark.sparkContext._jvm

@@ -46,6 +46,13 @@ SET_BYTES = 2 << 20
 SKETCH = 8
 #: Rounds in which only as many pairs are compared as would connect all that may be similar; one round of all pairs left follows.
 ROUNDS = 2
+#: Most rows of one or two numbers (of texts that are read or dropped) that are broadcast, so that texts need no shuffle.
+UID_ROWS = 1 << 21
+#: Rows of shingles from which on buckets are handled in parts, one after the other, and the most parts.
+PART_ROWS = 1 << 22
+PARTS = 8
+#: Share of the elements of all sets that is sent at once to compare pairs.
+SENT = 0.25
 #: Slots of the table that orders shingles by how common they are.
 SLOTS = 1 << 18
 
@@ -307,9 +314,23 @@ def parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little")
 
 
+def wide_parity(hashes: np.ndarray) -> bytes:
+    """A parity sketch of at least one bit for each element; its number of bits is a power of two, so that two sketches of different sizes can be compared."""
+    width = max(64 * SKETCH, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else 64 * SKETCH
+    bits = np.bincount(((hashes >> np.uint64(32)) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketches_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits in which two sketches (as words of 64 bits) differ, the longer one folded to the length of the other: at most the elements not shared."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum(dtype=np.int64))
+
+
 def described(data: DataFrame, size: int) -> DataFrame:
-    """uid, dk and, of each text's shingle set: fp (SimHash), n (elements), key (a hash of the whole set, 0 for the empty one) and sketch."""
-    names = ["uid", "dk", "fp", "n", "key", "sketch"]
+    """uid, dk and, of each text's shingle set: fp (SimHash), n (elements), key (a hash of the whole set, 0 for the empty one), sketch and a wide sketch."""
+    names = ["uid", "dk", "fp", "n", "key", "sketch", "wide"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,9 +338,9 @@ def described(data: DataFrame, size: int) -> DataFrame:
                 sets = word_sets(b, size)
                 fp = np.array([fingerprint(x) for x in sets], np.uint64).view(np.int64)
                 key = np.array([xxhash.xxh64_intdigest(x.tobytes()) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("dk"), pa.array(fp), pa.array([len(x) for x in sets], pa.int32()), pa.array(key), pa.array([parity(x).tobytes() for x in sets], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("dk"), pa.array(fp), pa.array([len(x) for x in sets], pa.int32()), pa.array(key), pa.array([parity(x).tobytes() for x in sets], pa.binary()), pa.array([wide_parity(x) for x in sets], pa.binary())], names)
 
-    return data.mapInArrow(common.tidy(run), "uid long, dk long, fp long, n int, key long, sketch binary")
+    return data.mapInArrow(common.tidy(run), "uid long, dk long, fp long, n int, key long, sketch binary, wide binary")
 
 
 def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -477,13 +498,25 @@ def candidates(batches: Iterator[pa.RecordBatch], similarity: float, forest: boo
         yield from judge(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
+def bucket_parts(rows: DataFrame, weight: int = 1) -> list[DataFrame]:
+    """The rows by whole buckets: one part, or some of about ``PART_ROWS / weight`` rows, at most ``PARTS``."""
+    n = min(PARTS, 1 + weight * rows.count() // PART_ROWS)
+    return [rows.where(F.pmod(F.xxhash64("h"), F.lit(n)) == i) if n > 1 else rows for i in range(n)]
+
+
 def mixed_buckets(rows: DataFrame, by: str, scratch: common.Scratch) -> DataFrame:
     """The rows of buckets in which ``by`` differs. A scratch table."""
-    seen = rows.groupBy("h").agg(F.min(by).alias("a"), F.max(by).alias("b"))
-    keep = scratch.save(seen.where("a != b").select("h"))
-    out = scratch.save(rows.join(F.broadcast(keep) if keep.count() <= BROADCAST_ROWS else keep, "h").distinct())
-    scratch.drop(keep)
-    return out
+
+    def parts() -> Iterator[DataFrame]:
+        for part in bucket_parts(rows):
+            seen = part.groupBy("h").agg(F.min(by).alias("a"), F.max(by).alias("b"))
+            keep = scratch.save(seen.where("a != b").select("h"))
+            del seen
+            common.release_shuffles(scratch.spark)
+            yield part.join(F.broadcast(keep) if keep.count() <= BROADCAST_ROWS else keep, "h").distinct()
+            scratch.drop(keep)
+
+    return scratch.save_parts(parts())
 
 
 def bucket_cells(rows: DataFrame) -> DataFrame:
@@ -508,11 +541,30 @@ def bucket_cells(rows: DataFrame) -> DataFrame:
     return sized.withColumn("cell", F.explode(cells)).drop("total", "most", "main")
 
 
-def similar_pairs(pairs: DataFrame, data: DataFrame, nodes: DataFrame, size: int, similarity: float, scratch: common.Scratch) -> DataFrame:
-    """Of pairs (u, v) of set keys, those whose sets are similar. A scratch table."""
-    ends = nodes.select("key", "uid").join(pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct(), "key")
-    ends = scratch.save(ends)
-    members = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
+def similar_pairs(pairs: DataFrame, data: DataFrame, nodes: DataFrame, size: int, similarity: float, elements: int, scratch: common.Scratch) -> DataFrame:
+    """Of pairs (u, v) of set keys, those whose sets are similar. A scratch table.
+
+    Wide sketches first prove most pairs not similar. Sets are made of what is
+    left, and sent to pairs in turns of about ``SENT`` of ``elements`` (those of
+    all sets).
+    """
+    spark = scratch.spark
+
+    def ends_of(some: DataFrame) -> DataFrame:
+        return some.select(F.col("u").alias("key")).union(some.select(F.col("v").alias("key"))).distinct()
+
+    def both(some: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
+        for end in ("u", "v"):
+            some = some.join(of.select(F.col("key").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns)), end)
+        return some
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = (b.column(k).to_numpy().astype(np.int64) for k in ("n_u", "n_v"))
+            most = (n + m) * ((1 - similarity) / (1 + similarity)) + 1e-6
+            apart = [sketches_apart(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")) for x, y in zip(b.column("wide_u"), b.column("wide_v"), strict=True)]
+            keep = pa.array((np.array(apart, np.int64) <= most) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9))
+            yield pa.RecordBatch.from_arrays([b.column("u").filter(keep), b.column("v").filter(keep), pa.array(n + m).filter(keep)], ["u", "v", "size"])
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -522,18 +574,29 @@ def similar_pairs(pairs: DataFrame, data: DataFrame, nodes: DataFrame, size: int
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             near = []
-            for x, y in zip(b.column("x"), b.column("y"), strict=True):
+            for x, y in zip(b.column("set_u"), b.column("set_v"), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 near.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
             keep = pa.array(near, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("u").filter(keep), b.column("v").filter(keep)], ["u", "v"])
 
-    sets = scratch.save(data.select("uid", "text").join(members, "uid").select("key", "text").mapInArrow(common.tidy(hashes), "key long, set binary"))
-    one, two = sets.select(F.col("key").alias("u"), F.col("set").alias("x")), sets.select(F.col("key").alias("v"), F.col("set").alias("y"))
-    out = scratch.save(pairs.join(one, "u").join(two, "v").select("u", "v", "x", "y").mapInArrow(common.tidy(similar), "u long, v long"))
-    scratch.drop(ends, sets)
-    common.release_shuffles(scratch.spark)
+    ends = scratch.save(nodes.select("key", "uid", "n", "wide").join(ends_of(pairs), "key"))
+    left = scratch.save(both(pairs, ends, "n", "wide").select("u", "v", "n_u", "n_v", "wide_u", "wide_v").mapInArrow(common.tidy(possible), "u long, v long, size long"))
+    common.release_shuffles(spark)
+    members = scratch.save(ends.select("key", "uid").join(ends_of(left), "key"))
+    scratch.drop(ends)
+    chosen = data.select("uid", "text").join(F.broadcast(members) if members.count() <= UID_ROWS else members, "uid")
+    sets = scratch.save(chosen.select("key", "text").mapInArrow(common.tidy(hashes), "key long, set binary"))
+    del chosen
+    common.release_shuffles(spark)
+    turns = max(1, int(np.ceil((left.agg(F.sum("size")).first()[0] or 0) / max(1, SENT * elements))))
+
+    def compared(some: DataFrame) -> DataFrame:
+        return both(some.select("u", "v"), sets, "set").select("u", "v", "set_u", "set_v").mapInArrow(common.tidy(similar), "u long, v long")
+
+    out = scratch.save_parts(compared(left.where(F.pmod(F.xxhash64("u", "v"), F.lit(turns)) == i) if turns > 1 else left) for i in range(turns))
+    scratch.drop(left, members, sets)
     return out
 
 
@@ -555,13 +618,14 @@ def head_pairs(mixed: DataFrame, nodes: DataFrame, similarity: float) -> DataFra
     """u, v: each set of a bucket with the bucket's smallest one, where size, fingerprint and sketch leave it likely that they are similar."""
     head = mixed.groupBy("h").agg(F.min(F.struct("n", "key")).alias("f"))
     pairs = mixed.join(head, "h").where((F.col("key") != F.col("f.key")) & (F.col("f.n") >= similarity * F.col("n") - 1e-9)).select(F.col("key").alias("u"), F.col("f.key").alias("v")).distinct()
-    own = lambda k: nodes.select(F.col("key").alias(k), F.struct("n", "fp", "sketch").alias(f"of_{k}"))
-    both = pairs.join(own("u"), "u").join(own("v"), "v")
+    own = lambda k, *of: nodes.select(F.col("key").alias(k), F.struct(*of).alias(f"of_{k}"))
+    near = F.bit_count(F.col("of_u.fp").bitwiseXOR(F.col("of_v.fp"))) <= WIDE
+    close = pairs.join(own("u", "fp"), "u").join(own("v", "fp"), "v").where(near).select("u", "v")
+    both = close.join(own("u", "n", "sketch"), "u").join(own("v", "n", "sketch"), "v")
     word = lambda k, i: F.conv(F.hex(F.substring(F.col(f"of_{k}.sketch"), 8 * i + 1, 8)), 16, -10).cast("long")
     apart = sum(F.bit_count(word("u", i).bitwiseXOR(word("v", i))) for i in range(SKETCH))
     most = (F.col("of_u.n") + F.col("of_v.n")) * ((1 - similarity) / (1 + similarity))
-    near = F.bit_count(F.col("of_u.fp").bitwiseXOR(F.col("of_v.fp"))) <= WIDE
-    return both.where(near & (apart <= most + 1e-6)).select("u", "v")
+    return both.where(apart <= most + 1e-6).select("u", "v")
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 4, blocks: int = 6, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -599,7 +663,10 @@ def without_near_copies(docs: DataFrame, shingle: int, radius: int, blocks: int,
     least = F.lit(-(1 << 63)).cast("long")
     data = numbered.select(F.col(mine).alias("uid"), F.coalesce(F.col(f"`{id_col}`").cast("long"), least).alias("dk"), F.col(f"`{text_col}`").alias("text"))
     table = scratch.save(described(data, shingle))
-    nodes = scratch.save(table.groupBy("key").agg(F.min(F.struct("dk", "uid")).alias("f"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("sketch").alias("sketch")).select("key", "f.dk", "f.uid", "fp", "n", "sketch"))
+    nodes = scratch.save(table.groupBy("key").agg(F.min(F.struct("dk", "uid")).alias("f"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("wide").alias("wide")).select("key", "f.dk", "f.uid", "fp", "n", "sketch", "wide"))
+    scratch.drop(table)
+    common.release_shuffles(spark)
+    elements = nodes.agg(F.sum("n")).first()[0] or 0
     by_print = simhash_pairs(nodes, radius, blocks, scratch)
     rows = scratch.save(prefix_rows(data, shingle_weights(data, shingle), shingle, similarity))
     mixed = mixed_buckets(rows, "key", scratch)
@@ -608,21 +675,28 @@ def without_near_copies(docs: DataFrame, shingle: int, radius: int, blocks: int,
     tried = by_print.union(head_pairs(mixed, nodes, similarity))
     tried = scratch.save(tried.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     scratch.drop(by_print)
-    edges = similar_pairs(tried, data, nodes, shingle, similarity, scratch)
+    common.release_shuffles(spark)
+    edges = similar_pairs(tried, data, nodes, shingle, similarity, elements, scratch)
     turn = 0
     while turn <= ROUNDS:
         tree = components(edges, scratch)
         rooted = mixed.select("h", "key", "n", "at").join(tree, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node")
         rooted = scratch.save(rooted)
         scratch.drop(mixed)
+        common.release_shuffles(spark)
         mixed = mixed_buckets(rooted, "root", scratch)
-        cells = bucket_cells(mixed).join(nodes.select("key", "sketch"), "key").withColumn("place", F.xxhash64("key", "h", F.lit(turn)))  # other pairs first in each bucket and round
-        cells = cells.repartition(common.partitions(spark), "h", "cell").sortWithinPartitions("h", "cell", "place", "key")
-        made = cells.mapInArrow(common.tidy(lambda it, few=turn < ROUNDS: candidates(it, similarity, few)), "u long, v long").distinct()
-        asked = scratch.save(made.join(tried, ["u", "v"], "left_anti"))
         scratch.drop(rooted)
+
+        def made(part: DataFrame, turn: int = turn) -> DataFrame:
+            cells = bucket_cells(part).join(nodes.select("key", "sketch"), "key").withColumn("place", F.xxhash64("key", "h", F.lit(turn)))  # other pairs first in each bucket and round
+            cells = cells.repartition(common.partitions(spark), "h", "cell").sortWithinPartitions("h", "cell", "place", "key")
+            return cells.mapInArrow(common.tidy(lambda it: candidates(it, similarity, turn < ROUNDS)), "u long, v long").distinct()
+
+        found = scratch.save_parts(made(part) for part in bucket_parts(mixed, 4))
+        asked = scratch.save(found.distinct().join(tried, ["u", "v"], "left_anti"))
+        scratch.drop(found)
         common.release_shuffles(spark)
-        new = similar_pairs(asked, data, nodes, shingle, similarity, scratch)
+        new = similar_pairs(asked, data, nodes, shingle, similarity, elements, scratch)
         turn = turn + 1 if turn == ROUNDS or not new.isEmpty() else ROUNDS
         old, edges = edges, scratch.save(tree.select(F.col("node").alias("u"), F.col("root").alias("v")).union(new))
         before, tried = tried, scratch.save(tried.union(asked))
@@ -633,7 +707,7 @@ def without_near_copies(docs: DataFrame, shingle: int, radius: int, blocks: int,
     scratch.drop(mixed, tried, edges, final, nodes)
     stays = grouped.groupBy("root").agg(F.min(F.struct("dk", "uid")).alias("f")).select(F.col("f.uid").alias("uid"))
     stays = scratch.save(stays)
-    gone = scratch.save(table.select("uid").join(stays, "uid", "left_anti").select(F.col("uid").alias(mine)))
-    scratch.drop(grouped, stays, table)
+    gone = scratch.save(data.select("uid").join(stays, "uid", "left_anti").select(F.col("uid").alias(mine)))
+    scratch.drop(grouped, stays)
     common.release_shuffles(spark)
-    return numbered.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, mine, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return numbered.join(F.broadcast(gone) if gone.count() <= UID_ROWS else gone, mine, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

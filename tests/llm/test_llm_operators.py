@@ -200,6 +200,59 @@ def test_near_copies_with_repeated_runs_go(spark, wide, monkeypatch):
     assert {x["doc_id"] for x in simhash.drop_near_copies(docs).collect()} == similar_groups(texts)
 
 
+def test_near_copies_in_parts_and_turns(spark, monkeypatch):
+    """Buckets and pairs handled one part after the other lose no link."""
+    monkeypatch.setattr(simhash, "PART_ROWS", 1)
+    monkeypatch.setattr(simhash, "PARTS", 3)
+    monkeypatch.setattr(simhash, "SENT", 0.4)
+    monkeypatch.setattr(simhash, "UID_ROWS", 0)
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(simhash, "WIDE", 0)
+    test_near_copies_go(spark.createDataFrame(corpus(), SCHEMA).repartition(3, "n_chars").coalesce(1))
+    r = random.Random(3)
+    vocab = ["".join(r.choice("abcdefghijklm") for _ in range(r.randint(2, 7))) for _ in range(500)]
+    texts = []
+    for n in (30, 300, 900):
+        base = [r.choice(vocab) for _ in range(n)]
+        texts += [" ".join(r.choice(vocab) if r.random() < share else w for w in base) for share in (0, 0.01, 0.02, 0.03, 0.04, 0.05)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x["doc_id"] for x in simhash.drop_near_copies(docs).collect()} == similar_groups(texts)
+
+
+def test_sets_of_long_texts_are_not_sent_for_one_shared_shingle(spark, monkeypatch):
+    """Their pairs grow with the square of the input; wide sketches must tell them apart."""
+    monkeypatch.setattr(simhash, "SLOTS", 1)
+    made, save = [0], common.Scratch.save
+
+    def spy(self, df):
+        out = save(self, df)
+        made[0] += out.count() if "set" in df.columns else 0
+        return out
+
+    monkeypatch.setattr(common.Scratch, "save", spy)
+    r = random.Random(9)
+    draw = lambda n: [f"{r.getrandbits(40):x}" for _ in range(n)]
+    texts = []
+    for _ in range(20):
+        run = draw(40)
+        texts += [" ".join(draw(1500) + run + draw(1500)) for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.drop_near_copies(docs).count() == 40
+    assert made[0] == 0
+
+
+def test_wide_sketches_lose_no_similar_pair():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 3, 511, 512, 513, 1500, 5000):
+        base = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for part in (1.0, 0.95, 0.8, 0.5, 0.0):
+            other = np.unique(np.concatenate([base[: int(n * part)], rng.integers(0, 1 << 63, int(n * (1 - part) / 3), dtype=np.uint64)]))
+            x, y = (np.frombuffer(simhash.wide_parity(s), "<u8") for s in (base, other))
+            apart = simhash.sketches_apart(x, y)
+            assert apart == simhash.sketches_apart(y, x) <= len(np.setxor1d(base, other))
+            assert part or n < 500 or apart > (len(base) + len(other)) / 9  # unrelated sets are told apart
+
+
 def test_possible_pairs_lose_no_similar_pair():
     rng = np.random.default_rng(4)
     sets = []
