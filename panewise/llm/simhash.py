@@ -49,7 +49,7 @@ ROUNDS = 2
 #: Most rows of one or two numbers (of texts that are read or dropped) that are broadcast, so that texts need no shuffle.
 UID_ROWS = 1 << 21
 #: Rows of shingles from which on buckets are handled in parts, one after the other, and the most parts.
-PART_ROWS = 1 << 22
+PART_ROWS = 1 << 24
 PARTS = 8
 #: Share of the elements of all sets that is sent at once to compare pairs.
 SENT = 0.25
